@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,16 @@ def last_where(items: Column, keep: Callable[[Column], Column]) -> Column:
 def first_where(items: Column, keep: Callable[[Column], Column]) -> Column:
     """First element satisfying ``keep`` or null."""
     return F.get(F.filter(items, keep), F.lit(0))
+
+
+def unnest(df: DataFrame, items: Column, *keep: str, name: str = "_item", position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    A plain explode makes the optimizer add a size filter that evaluates the array
+    a second time; for arrays that are costly to build the outer form avoids that.
+    """
+    if position:
+        out = df.select(*keep, F.posexplode_outer(items).alias(position, name))
+    else:
+        out = df.select(*keep, F.explode_outer(items).alias(name))
+    return out.filter(F.col(name).isNotNull())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexfolio import lexicons as lx
-from lexfolio.functions.arrays import let, running_starts
+from lexfolio.functions.arrays import let, running_starts, unnest
 from lexfolio.functions.text import clean_spacing, compose_unicode, slice_text, squeeze_ends
 
 BLANK_LINE = r"\r?\n\r?\n"
@@ -120,7 +120,7 @@ def canonical_from_blocks(blocks: DataFrame, key: str = "version_id") -> DataFra
 
 def block_rows(canonical: DataFrame, *keep: str) -> DataFrame:
     """One row per block."""
-    return canonical.select(*keep, F.explode("blocks").alias("_b")).select(*keep, "_b.*")
+    return unnest(canonical, F.col("blocks"), *keep).select(*keep, "_item.*")
 
 
 def source_map(canonical: DataFrame, key: str = "version_id") -> DataFrame:
