@@ -88,9 +88,9 @@ def regex_hits(text: Column, pattern: str) -> Column:
     return let(text, build)
 
 
-def last_where(items: Column, keep: Callable[[Column], Column]) -> Column:
-    """Last element satisfying ``keep`` or null."""
-    return F.try_element_at(F.filter(items, keep), F.lit(-1))
+def last_with(items: Column, field: str, value) -> Column:
+    """Last struct whose ``field`` equals ``value`` or null."""
+    return F.try_element_at(F.filter(items, lambda x: x[field] == value), F.lit(-1))
 
 
 def first_where(items: Column, keep: Callable[[Column], Column]) -> Column:
