@@ -11,6 +11,9 @@ from lexfolio.functions.text import contains_any, half_up, slice_text, squeeze_e
 
 QUANTITY = "struct<field:string,value:double,unit:string,raw:string,start:int,end:int>"
 
+_DURATION_TEST = r"(?i)\d\)?\s*(?:calendar\s|business\s|day|month|year|week)"
+_MONEY_TEST = r"(?i)(?:\$|USD\s*|EUR\s*|GBP\s*)\d"
+
 
 def _lead_words(gap: Column) -> Column:
     """The words right before a number: trailing letters, hyphens and spaces of the gap.
@@ -29,6 +32,10 @@ def _context(text: Column, start: Column, end: Column) -> Column:
 
 
 def _duration_kind(window: Column) -> Column:
+    return let(window, _kind_of)
+
+
+def _kind_of(window: Column) -> Column:
     ctx = dict(lx.DURATION_CONTEXTS)
     ends = contains_any(window, ("terminate",)) & ~contains_any(window, ("following termination",))
     return (
@@ -123,9 +130,9 @@ def quantities(text: Column, base: Column) -> Column:
             entries.append(entry(f, last_with(found["m"], "field", f)))
         return F.filter(F.array(*entries), lambda e: e.isNotNull())
 
-    # Most sentences hold no digit at all; they skip the scan.
+    # Most sentences state no quantity; two cheap tests that every match passes spare them the scan.
     scan = let(F.struct(duration_mentions(text).alias("d"), money_mentions(text).alias("m")), pick)
-    return F.when(text.rlike(r"\d"), scan).otherwise(F.array().cast(f"array<{QUANTITY}>"))
+    return F.when(text.rlike(_DURATION_TEST) | text.rlike(_MONEY_TEST), scan).otherwise(F.array().cast(f"array<{QUANTITY}>"))
 
 
 def merge_quantities(base: Column, extra: Column) -> Column:

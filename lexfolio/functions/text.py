@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexfolio import lexicons as lx
+from lexfolio.functions.arrays import let
 
 
 def squeeze_ends(text: Column) -> Column:
@@ -17,21 +18,32 @@ def squeeze_ends(text: Column) -> Column:
     return F.btrim(text, F.lit(lx.EDGE_SPACE))
 
 
-def contains_any(text: Column, words) -> Column:
-    """True when any of the words occurs; a leading ^ anchors a word at the start."""
+def _any_of(text: Column, words) -> Column:
     out = F.lit(False)
     for w in words:
         out = out | (F.startswith(text, F.lit(w[1:])) if w.startswith("^") else F.contains(text, F.lit(w)))
     return out
 
 
+def contains_any(text: Column, words) -> Column:
+    """True when any of the words occurs; a leading ^ anchors a word at the start.
+
+    The text is bound first, so an expression such as ``lower(...)`` runs once.
+    """
+    return let(text, lambda t: _any_of(t, words))
+
+
 def first_label(text: Column, table, default: Column) -> Column:
     """Label of the first (label, words) row whose words occur in ``text``."""
-    expr = None
-    for label, words in table:
-        cond = contains_any(text, words)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.otherwise(default)
+
+    def pick(t: Column) -> Column:
+        expr = None
+        for label, words in table:
+            cond = _any_of(t, words)
+            expr = F.when(cond, label) if expr is None else expr.when(cond, label)
+        return expr.otherwise(default)
+
+    return let(text, pick)
 
 
 @F.pandas_udf(T.StringType())

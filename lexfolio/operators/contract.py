@@ -284,21 +284,19 @@ def placed_sentences(clause: Column, canonical_text: Column) -> Column:
 
 def modality(sentence: Column) -> Column:
     """First modal by priority, not by position; null if none."""
-    expr = None
+    expr = F.when(~sentence.rlike(lx.ANY_MODAL), F.lit(None).cast("string"))
     for name, pattern in lx.MODALS:
-        expr = F.when(sentence.rlike(pattern), name) if expr is None else expr.when(sentence.rlike(pattern), name)
+        expr = expr.when(sentence.rlike(pattern), name)
     return expr
 
 
-def _modal_part(sentence: Column, which: str) -> Column:
-    """Text before or after the modal; the (?s) pattern stops at its first occurrence."""
+def _modal_part(sentence: Column, modal: Column, which: str) -> Column:
+    """Text before or after the first occurrence of the given modal."""
     expr = None
     for name, pattern in lx.MODALS:
-        core = pattern.removeprefix("(?i)")
-        full = rf"(?is)^(.*?){core}(.*)\z"
-        value = F.regexp_extract(sentence, full, 1 if which == "before" else 2)
-        cond = sentence.rlike(pattern)
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
+        around = rf"(?is)^(.*?){pattern.removeprefix('(?i)')}(.*)\z"
+        value = F.regexp_extract(sentence, around, 1 if which == "before" else 2)
+        expr = F.when(modal == name, value) if expr is None else expr.when(modal == name, value)
     return squeeze_ends(expr)
 
 
@@ -339,11 +337,11 @@ def obligation_fields(sentence: Column) -> Column:
             lambda m: F.when(
                 m.isNotNull(),
                 let(
-                    clean_actor(_modal_part(text, "before")),
+                    clean_actor(_modal_part(text, m, "before")),
                     lambda actor: F.struct(
                         actor.alias("actor"),
                         m.alias("modality"),
-                        _modal_part(text, "after").alias("action"),
+                        _modal_part(text, m, "after").alias("action"),
                         condition_phrase(text).alias("condition"),
                         exceptions_in(text).alias("exceptions"),
                         (contains_any(F.lower(actor), lx.MUTUAL_ACTORS) | mutual_language(text)).alias("is_bilateral"),

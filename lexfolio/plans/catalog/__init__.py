@@ -6,6 +6,7 @@ MODULES = (
     "corpus",
     "search",
     "contracts",
+    "citations",
 )
 
 
