@@ -7,6 +7,7 @@ MODULES = (
     "search",
     "contracts",
     "citations",
+    "revisions",
 )
 
 
