@@ -8,6 +8,7 @@ MODULES = (
     "contracts",
     "citations",
     "revisions",
+    "resumes",
 )
 
 

@@ -34,8 +34,8 @@ def _side(name: str) -> str:
 ALIGN = f"""revisions AS ({corpora.REVISIONS_SQL}), {_side('base')}, {_side('target')},
 sc AS (SELECT b.version_id, b.clause_index AS b, t.clause_index AS t, {dice('b.ws', 't.ws')} AS score,
   b.clause_number <> '' AND b.clause_number = t.clause_number AND (lower(b.heading) = lower(t.heading) OR {dice('b.hs', 't.hs')} > 0.6) AS numbered FROM bw b JOIN tw t USING (version_id)),
-ca AS (SELECT version_id, t, list(b ORDER BY b) FILTER (numbered) AS c1, list(b ORDER BY score DESC, b) FILTER (score >= 0.45) AS c2 FROM sc GROUP BY ALL),
-nt AS (SELECT version_id, max(clause_index) + 1 AS n FROM tc GROUP BY version_id),
+ca AS MATERIALIZED (SELECT version_id, t, list(b ORDER BY b) FILTER (numbered) AS c1, list(b ORDER BY score DESC, b) FILTER (score >= 0.45) AS c2 FROM sc GROUP BY ALL),
+nt AS MATERIALIZED (SELECT version_id, max(clause_index) + 1 AS n FROM tc GROUP BY version_id),
 g AS (SELECT version_id, n, -1 AS step, []::INTEGER[] AS used, []::INTEGER[] AS done, NULL::INTEGER AS t, NULL::INTEGER AS b, NULL::BOOLEAN AS by_number FROM nt
   UNION ALL SELECT version_id, n, step, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, CASE WHEN pick IS NULL THEN done ELSE list_append(done, t) END, t, pick, step < n FROM (
     SELECT g.version_id, g.n, g.step + 1 AS step, used, done, ca.t AS t, CASE WHEN g.step + 1 >= g.n AND list_contains(done, ca.t) THEN NULL
