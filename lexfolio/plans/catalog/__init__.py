@@ -9,6 +9,8 @@ MODULES = (
     "citations",
     "revisions",
     "resumes",
+    "workspaces",
+    "pages",
 )
 
 

@@ -171,7 +171,7 @@ OCR_WORDS_SQL = """SELECT CAST(l_suppkey AS STRING) AS version_id, CAST(5 AS INT
  CAST(1 + l_partkey % 9 AS INT) AS block_num, CAST(l_linenumber AS INT) AS line_num,
  CAST(l_orderkey * 10000 + l_linenumber * 1000 + l_partkey % 1000 AS BIGINT) AS word_num,
  CAST(20 + 10 * l_linenumber AS INT) AS "left", CAST(30 + 5 * (l_orderkey % 100) AS INT) AS top, CAST(l_quantity AS INT) AS width, CAST(11 AS INT) AS height,
- CAST(CASE WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN -1 ELSE 60 + l_quantity * 0.75 END AS DOUBLE) AS conf,
+ CAST(CASE WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN -1 ELSE 60 + l_quantity * 0.7193 END AS DOUBLE) AS conf,
  CASE WHEN l_linenumber = 5 THEN '' ELSE 'tok' || CAST(l_orderkey % 1000 AS STRING) END AS text FROM lineitem"""
 
 
