@@ -11,6 +11,8 @@ MODULES = (
     "resumes",
     "workspaces",
     "pages",
+    "scores",
+    "streams",
 )
 
 

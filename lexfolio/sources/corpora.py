@@ -210,3 +210,42 @@ def text_items(tables) -> DataFrame:
 
 def ocr_words(tables) -> DataFrame:
     return build(tables, OCR_WORDS_SQL, "lineitem")
+
+
+# --- labelled cases: boundary variants by index arithmetic, at any scale ----------------
+
+
+def contract_case_text(k: str) -> str:
+    """A mutual agreement that is clean, too long in term, or holds an indemnity, by ``k % 3``."""
+    years = f"CASE WHEN {k} % 3 = 0 THEN 4 + {k} % 4 ELSE 2 END"
+    indemnity = f"CASE WHEN {k} % 3 = 1 THEN {_join('SECTION 3. INDEMNITY' + GAP + 'The recipient shall defend and indemnify the owner against every claim.' + GAP)} ELSE '' END"
+    return "(" + _join(
+        "MUTUAL NON-DISCLOSURE AGREEMENT NO. ", _num(k), GAP + "Between Alpha House ", _num(k), " and Beta House ", _num(k), "." + GAP +
+        "SECTION 1. CONFIDENTIAL INFORMATION" + GAP + "Each party agrees to keep confidential information secret. Excluded are public knowledge, "
+        "independent development and disclosures under court order." + GAP + "SECTION 2. TERM" + GAP + "The confidentiality term shall be ", _num(years), " years." + GAP,
+        indemnity, "SECTION 4. TERMINATION" + GAP + "Either side may leave on thirty (30) days notice.") + ")"
+
+
+SPLIT_SQL = "CASE WHEN {k} % 30 < 20 THEN 'dev' ELSE 'held_out' END"
+
+CONTRACT_CASES_SQL = f"""SELECT CAST(o_orderkey AS STRING) AS version_id, 'nda' AS playbook, {SPLIT_SQL.format(k='o_orderkey')} AS split, {contract_case_text('o_orderkey')} AS text,
+ CASE o_orderkey % 3 WHEN 0 THEN 'RULE_NDA_DURATION_LIMIT' WHEN 1 THEN 'RULE_NDA_PROHIBITED_INDEMNITY' ELSE '' END AS expected FROM orders"""
+
+
+def resume_case_text(k: str, year: int = 2024) -> str:
+    """A profile with ``2 + k % 8`` years in one open role."""
+    start = _num(f"{year} - (2 + {k} % 8)")
+    return "(" + _join(
+        "Candidate Variant ", _num(k), GAP + "variant", _num(k), "@example.com | 555-000-", _num(f"1000 + {k} % 9000"), " | Chicago, IL" + GAP + "PROFESSIONAL SUMMARY" + GAP +
+        "Software professional in industry." + GAP + "EXPERIENCE" + GAP + "Software Engineer - Platform Alpha | Jan ", start, " - Present" + GAP +
+        "• Responsible for developing services with TypeScript and PostgreSQL." + GAP + "EDUCATION" + GAP + "State University" + GAP +
+        "Bachelor of Science in Computer Science | ", start, GAP + "TECHNICAL SKILLS" + GAP + "Technologies: TypeScript, JavaScript, PostgreSQL, Docker, Git") + ")"
+
+
+_REQUIRED_YEARS = "CASE WHEN c_custkey % 2 = 0 THEN 1 + c_custkey % 8 ELSE 6 + c_custkey % 8 END"
+RESUME_CASES_SQL = f"SELECT CAST(c_custkey AS STRING) AS version_id, {resume_case_text('c_custkey')} AS text FROM customer"
+RESUME_CASE_JOBS_SQL = "SELECT CAST(c_custkey AS STRING) AS job_id, (" + _join(
+    "Requirements:" + chr(10) + "- ", _num(_REQUIRED_YEARS), "+ years software engineering experience." + chr(10) + "- Proficiency with TypeScript and PostgreSQL.") + ") AS text FROM customer"
+RESUME_LABELS_SQL = f"""SELECT CAST(c_custkey AS STRING) AS version_id, {SPLIT_SQL.format(k='c_custkey')} AS split, CAST(1 + c_custkey % 8 AS DOUBLE) AS min_years, CAST(4 + c_custkey % 8 AS DOUBLE) AS max_years,
+ CAST({_REQUIRED_YEARS} AS STRING) || '+ years' AS snippet, CASE WHEN c_custkey % 2 = 0 THEN 'supported' ELSE 'unsupported' END AS status FROM customer"""
+CASE_SKILLS = ("TypeScript", "PostgreSQL", "Docker", "Git")
