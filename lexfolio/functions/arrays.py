@@ -103,6 +103,8 @@ def unnest(df: DataFrame, items: Column, *keep: str, name: str = "_item", positi
 
     A plain explode makes the optimizer add a size filter that evaluates the array
     a second time; for arrays that are costly to build the outer form avoids that.
+    Likewise ``unnest(df, F.array(x))`` keeps the rows where a costly ``x`` is not null
+    without the filter being pushed below the projection and computing ``x`` again.
     """
     if position:
         out = df.select(*keep, F.posexplode_outer(items).alias(position, name))

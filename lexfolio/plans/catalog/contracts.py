@@ -110,8 +110,8 @@ al AS (SELECT * FROM src UNION ALL SELECT version_id, canonical_text, 0 FROM blo
 SELECT version_id, regexp_extract(text, {_LAW}, 1) AS jurisdiction, CAST(base + strpos(text, regexp_extract(text, {_LAW})) - 1 AS INTEGER) AS start,
  CAST(base + strpos(text, regexp_extract(text, {_LAW})) - 1 + length(regexp_extract(text, {_LAW})) AS INTEGER) AS "end" FROM al WHERE regexp_matches(text, {_LAW})""")
 def _(t):
-    rows = segmented(t).select("version_id", c.governing_law_of(F.col("clauses"), F.col("canonical_text")).alias("g"))
-    return rows.filter(F.col("g").isNotNull()).select("version_id", "g.*")
+    found = F.array(c.governing_law_of(F.col("clauses"), F.col("canonical_text")))
+    return unnest(segmented(t), found, "version_id").select("version_id", "_item.*")
 
 
 @query("c13_c14_sentences", f"WITH RECURSIVE {CLAUSES},{sentences_cte()} SELECT version_id, clause_index, sentence_index, text, start, \"end\" FROM sentences")
