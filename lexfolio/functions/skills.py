@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +28,12 @@ def skills_in(text: Column) -> Column:
     """array<struct<name,category>> of the skills named in a text, in ontology order."""
 
     def build(low: Column) -> Column:
+        # A plain substring test rules most skills out before any pattern runs.
         found = [
-            F.when(low.rlike("|".join(_bounded(a) for a in aliases)), F.struct(F.lit(name).alias("name"), F.lit(cat).alias("category")))
+            F.when(
+                reduce(or_, [F.contains(low, F.lit(a)) for a in aliases]) & low.rlike("|".join(_bounded(a) for a in aliases)),
+                F.struct(F.lit(name).alias("name"), F.lit(cat).alias("category")),
+            )
             for name, cat, aliases in lx.SKILLS
         ]
         return F.filter(F.array(*found), lambda s: s.isNotNull()).cast(f"array<{SKILL}>")

@@ -156,10 +156,9 @@ def cut_by_spans(docs: DataFrame, spans: DataFrame, key: str = "version_id") ->
     fully covered by earlier ones vanish. Spans of one document are bounded by its
     text length after de-duplication, so they fold inside the document's row.
     """
-    valid = spans.join(docs.select(key, F.length("canonical_text").alias("_n")), key).filter(
-        (F.col("start") >= 0) & (F.col("end") <= F.col("_n")) & (F.col("start") < F.col("end"))
+    cited = spans.filter((F.col("start") >= 0) & (F.col("start") < F.col("end"))).groupBy(key, "start", "end").agg(
+        F.min("citation_id").alias("citation_id")
     )
-    cited = valid.groupBy(key, "start", "end").agg(F.min("citation_id").alias("citation_id"))
     per_doc = cited.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "citation_id"))).alias("_spans")
     )
@@ -183,7 +182,7 @@ def cut_by_spans(docs: DataFrame, spans: DataFrame, key: str = "version_id") ->
     folded = docs.join(per_doc, key, "left").withColumn(
         "_f",
         F.aggregate(
-            F.coalesce(F.col("_spans"), F.array().cast("array<struct<start:int,end:int,citation_id:string>>")),
+            F.filter(F.coalesce(F.col("_spans"), empty), lambda s: s["end"] <= F.length("canonical_text")),
             F.struct(F.lit(0).alias("at"), empty.alias("pieces")).cast(state),
             lambda acc, s: step(acc, s).cast(state),
         ),

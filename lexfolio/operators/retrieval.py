@@ -20,6 +20,7 @@ from lexfolio.functions.arrays import let, running_starts, unnest
 from lexfolio.functions.hashing import embed
 from lexfolio.functions.text import cosine, search_tokens, slice_text
 from lexfolio.operators.textjoin import contains_join
+from lexfolio.session import materialize
 
 # Queries up to this many are sent to every task as one matrix; more are joined in blocks.
 MAX_BROADCAST_QUERIES = 2048
@@ -116,11 +117,16 @@ def postings(chunks: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def chunk_stats(chunks: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
-    """Chunk count and average length per scope (one row for the whole corpus)."""
-    return chunks.groupBy(*scope).agg(
-        F.count("*").alias("n_chunks"), F.avg(F.size(search_tokens(indexed_text()))).alias("avg_len")
-    )
+def chunk_stats(chunks: DataFrame, index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk count and average length per scope (one row for the whole corpus).
+
+    Term frequencies sum to the lengths, so the text is not tokenised again.
+    """
+    counts = chunks.groupBy(*scope).agg(F.count("*").alias("n_chunks"))
+    totals = index.groupBy(*scope).agg(F.sum("tf").alias("_tokens"))
+    if scope:
+        return counts.join(totals, list(scope)).select(*scope, "n_chunks", (F.col("_tokens") / F.col("n_chunks")).alias("avg_len"))
+    return counts.select("n_chunks", (totals.scalar() / F.col("n_chunks")).alias("avg_len"))
 
 
 def query_tokens(queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -325,10 +331,10 @@ def fuse_rankings(rankings: dict[str, DataFrame], k: int | None = None, rrf_k: i
 
 def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """BM25, dense and exact rankings of 2k each, fused to the top k with their chunks."""
-    index = postings(chunks) if index is None else index
+    index = materialize(postings(chunks), "postings") if index is None else index
     fused = fuse_rankings(
         {
-            "bm25": bm25_search(index, chunk_stats(chunks), queries, 2 * k),
+            "bm25": bm25_search(index, chunk_stats(chunks, index), queries, 2 * k),
             "dense": dense_top_k(embed_chunks(chunks), queries.select("query_id", embed(F.col("query")).alias("vector")), 2 * k),
             "exact": exact_search(chunks, extract_terms(queries), 2 * k),
         },

@@ -113,7 +113,8 @@ BENCH_Q = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 @query("r04_bm25_search", f"WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {bm25_cte(BENCH_Q, 10)} SELECT * FROM bm25")
 def _(t):
     chunks = doc_chunks(t)
-    return r.bm25_search(r.postings(chunks), r.chunk_stats(chunks), passages(t), 10)
+    index = materialize(r.postings(chunks), "postings")
+    return r.bm25_search(index, r.chunk_stats(chunks, index), passages(t), 10)
 
 
 @query("r04_bm25_per_version", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX},
@@ -128,7 +129,8 @@ def _(t):
     chunks = doc_chunks(t)
     own = t.documents.select(F.col("doc_id").cast("string").alias("version_id"), F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
     scope = ("version_id",)
-    return r.bm25_search(r.postings(chunks, scope), r.chunk_stats(chunks, scope), own, 3, scope)
+    index = materialize(r.postings(chunks, scope), "postings")
+    return r.bm25_search(index, r.chunk_stats(chunks, index, scope), own, 3, scope)
 
 
 # The embedding twin hashes each distinct word once with list folds over its characters.
@@ -208,9 +210,9 @@ SELECT query_id, chunk_id, round(coalesce(1.0::DOUBLE / (60 + b.rank), 0) + coal
 FROM bm25 b FULL JOIN exact e USING (query_id, chunk_id)""")
 def _(t):
     chunks = materialize(contract_chunks(t), "chunks")
-    q = term_queries(t)
+    index, q = materialize(r.postings(chunks), "postings"), term_queries(t)
     return r.fuse_rankings({
-        "bm25": r.bm25_search(r.postings(chunks), r.chunk_stats(chunks), q, 20),
+        "bm25": r.bm25_search(index, r.chunk_stats(chunks, index), q, 20),
         "exact": r.exact_search(chunks, r.extract_terms(q), 20),
     })
 
