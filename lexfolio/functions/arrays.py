@@ -53,7 +53,8 @@ def running_starts(lengths: Column) -> Column:
             ),
         )
 
-    return let(lengths, build)
+    # Short arrays, the common case, need no second level.
+    return let(lengths, lambda arr: F.when(F.size(arr) <= 48, within(arr)["starts"]).otherwise(build(arr)))
 
 
 def regex_hits(text: Column, pattern: str) -> Column:

@@ -33,21 +33,25 @@ BLOCK = T.StructType([
 def text_blocks(text: Column, separator: str = BLANK_LINE) -> Column:
     """Split text into typed blocks; the index counts empty pieces as well."""
 
-    def block(piece: Column, i: Column) -> Column:
+    def block(piece: Column, i: Column, dirty: Column) -> Column:
         heading = F.startswith(piece, F.lit("#"))
         bullet = piece.rlike(lx.BULLET_LINE)
         return F.struct(
             i.cast("int").alias("block_index"),
             F.lit(1).alias("page_number"),
             F.when(heading, "heading").when(bullet, "list_item").otherwise("paragraph").alias("block_type"),
-            clean_spacing(piece).alias("text"),
+            F.when(dirty, clean_spacing(piece)).otherwise(piece).alias("text"),
             F.when(heading, F.length(F.regexp_extract(piece, r"^#+", 0))).when(bullet, 1).alias("level"),
             F.lit(1.0).alias("confidence"),
             F.lit(False).alias("is_ocr"),
         )
 
-    pieces = F.transform(F.split(text, separator, -1), squeeze_ends)
-    return F.filter(F.transform(pieces, block), lambda b: b["text"] != "")
+    def build(t: Column) -> Column:
+        pieces = F.transform(F.split(t["text"], separator, -1), squeeze_ends)
+        return F.filter(F.transform(pieces, lambda p, i: block(p, i, t["dirty"])), lambda b: b["text"] != "")
+
+    # One scan of the text tells whether any block needs its spacing cleaned.
+    return let(F.struct(text.alias("text"), text.rlike(lx.UNCLEAN_SPACING).alias("dirty")), build)
 
 
 def separator_before(block_type: Column, i: Column) -> Column:
