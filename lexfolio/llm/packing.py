@@ -24,7 +24,7 @@ from lexfolio.llm.common import batches_of
 
 #: Characters that the whitespace rules of the tokenizer treat alike in every library.
 _PLAIN_CHUNK = regex.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
-_ODD_SPACE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = regex.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -36,11 +36,16 @@ class ByteBpe:
 
     White space followed by a word begins a new unit of the vocabulary's own split, so a
     text is encoded word by word; a word met before costs one dictionary lookup. ``ranks``
-    is the vocabulary as ranks, ``pattern`` its split pattern.
+    is the vocabulary as ranks, ``pattern`` its split pattern, ``full`` the tokenizer file,
+    which encodes texts with unusual white space whole.
     """
 
-    def __init__(self, ranks: str, pattern: str, cache_words: int = 400_000):
+    def __init__(self, ranks: str, pattern: str, full: str, cache_words: int = 400_000):
         import tiktoken
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(full)
+        self.full.encode_special_tokens = True
 
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
@@ -68,18 +73,18 @@ class ByteBpe:
         if not text:
             return b""
         if _ODD_SPACE.search(text):
-            return self._ids(text)
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if "  " in text or text[0] == " " or text[-1] == " ":
             return self._cached(self.first, _PLAIN_CHUNK.findall(text), "")
         words = text.split(" ")
         return self._cached(self.first, words[:1], "") + self._cached(self.inner, words[1:], " ")
 
 
-def public_byte_bpe() -> tuple[str, str]:
-    """Ranks and split pattern of ``byte_bpe_50k.json`` (the same vocabulary, written as ranks)."""
+def public_byte_bpe() -> tuple[str, str, str]:
+    """Ranks, split pattern and file of ``byte_bpe_50k.json``."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")
 
 
 class FreeRoom:
@@ -157,10 +162,10 @@ def plan_group(totals: list[int], length: int, min_cut: int) -> list[list[tuple[
 
 def tokenize(docs: DataFrame, end_id: int = 0) -> DataFrame:
     """(doc_id, group_key, ids): ids as little-endian 32-bit integers, closed by ``end_id``."""
-    ranks, pattern = public_byte_bpe()
+    vocabulary = public_byte_bpe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(ranks, pattern)
+        bpe = ByteBpe(*vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for batch in batches_of(whole, "text", 16 << 20):
