@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, packing, vptree
+from lexfolio.llm import bloom_lm, packing, ppm, pu_quality, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bloom_lm")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ppm_language")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pu_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
