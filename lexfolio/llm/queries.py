@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, packing, ppm, pu_quality, vptree
+from lexfolio.llm import bloom_lm, licenses, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pu_quality")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op9_spot_signatures")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
