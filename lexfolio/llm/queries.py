@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, licenses, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
+from lexfolio.llm import bloom_lm, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedupe(docs)
