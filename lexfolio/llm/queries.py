@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
+from lexfolio.llm import bloom_lm, lattice, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedupe(docs)
+
+
+@query("op2_gumbel_segmentations")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sample_segmentations(table(spark, sf_dir, "documents"))
