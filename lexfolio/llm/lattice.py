@@ -289,7 +289,7 @@ def public_piece_model() -> str:
 
 
 def sample_segmentations(
-    docs: DataFrame, k: int = 2, temperature: float = 3e-4, seed: int = 1, model: str | None = None
+    docs: DataFrame, k: int = 2, temperature: float = 1e-3, seed: int = 1, model: str | None = None
 ) -> DataFrame:
     """doc_id, sample (from 1), ids, n_pieces, log_prob, perturbed, inclusion, round_trip for each text.
 

@@ -86,13 +86,13 @@ def dedupe(docs: DataFrame, edits: int = 1, near_chars: int = 20) -> DataFrame:
         places.join(marked, ["x", "y"])
         .filter(F.col("all_gone") | (F.struct("doc_id", "at") != F.col("first")))
         .groupBy("doc_id")
-        .agg(F.collect_set("at").alias("drop"))  # at most the lines of one document
-        .withColumnRenamed("doc_id", "_doc")
+        .agg(F.collect_set("at").alias("_drop_lines"))  # at most the lines of one document
+        .withColumnRenamed("doc_id", "_drop_doc")
     )
-    joined = docs.join(drop, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    joined = docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop_doc"), "left")
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda line, i: ~F.array_contains("drop", i))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(split, lambda line, i: ~F.array_contains("_drop_lines", i))
+    text = F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(split, lambda line: F.trim(line) != "")), F.lit(0))
     kept_columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*kept_columns, n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_removed"))
+    return joined.select(*kept_columns, n_lines.alias("n_lines"), F.coalesce(F.size("_drop_lines"), F.lit(0)).alias("n_removed"))
