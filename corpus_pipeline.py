@@ -35,7 +35,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, texts without the lines that an earlier line repeats."""
-    return line_dedup.dedupe(docs).select(*docs.columns)
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_row")
+    return line_dedup.dedupe(docs.select("doc_id", "text", others)).select("_row.*", "text").select(*docs.columns)
 
 
 def group_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
