@@ -126,8 +126,8 @@ def _gradients(rows: DataFrame, model: QualityModel) -> np.ndarray:
 def fit(rows: DataFrame, prior: float, steps: int = 40, rate: float = 1.0, decay: float = 1e-4) -> QualityModel:
     """Non-negative PU risk over ``rows`` (features, positive); full-batch steps with Adam scaling.
 
-    Where the negative part of the risk is below zero, the step follows its reversed
-    gradient, as the non-negative estimator prescribes.
+    Where the negative part of the risk is below zero it counts as zero and has no gradient.
+    The weights are the mean of the second half of the steps, which evens out the kink.
     """
     n = len(FEATURES)
     cells = F.posexplode("features")
@@ -137,17 +137,20 @@ def fit(rows: DataFrame, prior: float, steps: int = 40, rate: float = 1.0, decay
     d = 2 * n + 1
     model = QualityModel(mean, scale, np.zeros(d), prior)
     model.weights[-1] = np.log(prior / (1 - prior))
-    first, second = np.zeros(d), np.zeros(d)
+    first, second, mean_weights = np.zeros(d), np.zeros(d), np.zeros(d)
     for step in range(1, steps + 1):
         t = _gradients(rows, model)
         np_, l0p, g1p, g0p = max(t[0], 1), t[1], t[2 : 2 + d], t[2 + d : 2 + 2 * d]
         nu, l0u, g0u = max(t[2 + 2 * d], 1), t[3 + 2 * d], t[4 + 2 * d :]
         negative = l0u / nu - prior * l0p / np_
-        g = prior * g1p / np_ + (g0u / nu - prior * g0p / np_) if negative >= 0 else -(g0u / nu - prior * g0p / np_)
+        g = prior * g1p / np_ + ((g0u / nu - prior * g0p / np_) if negative >= 0 else 0)
         g = g + decay * model.weights
         first, second = 0.9 * first + 0.1 * g, 0.95 * second + 0.05 * g * g
         pace = rate * 0.25 * min(1.0, 2 * (1 - (step - 1) / steps))
         model.weights = model.weights - pace * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.95**step)) + 1e-8)
+        if step > steps // 2:
+            mean_weights += model.weights / (steps - steps // 2)
+    model.weights = mean_weights
     return model
 
 
