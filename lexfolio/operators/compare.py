@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -179,26 +180,41 @@ _TOKENS = re.compile(r"\S+|\s+")
 def diff_tokens(base: str, target: str) -> list[tuple[str, str]]:
     """Edit script over words and spaces from a longest common subsequence.
 
-    Each table row is one vectorised step. Past the cell limit everything is deleted
-    and inserted, which is the defined result for huge clauses.
+    Each table row is one vectorised step. Only every sqrt(n)-th row is kept; the rows
+    between are computed again while the script is read backwards, so that long clauses
+    need no whole table.
     """
     a, b = _TOKENS.findall(base), _TOKENS.findall(target)
-    if len(a) * len(b) > lx.DIFF_CELL_LIMIT:
-        return [("delete", t) for t in a] + [("insert", t) for t in b]
     ids: dict[str, int] = {}
     x = [ids.setdefault(t, len(ids)) for t in a]
     y = np.array([ids.setdefault(t, len(ids)) for t in b], dtype=np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i, token in enumerate(x):
-        grown = np.where(y == token, table[i, :-1] + 1, table[i, 1:])
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(grown, table[i, 1:]))
+
+    def below(row: np.ndarray, token: int) -> np.ndarray:
+        out = np.zeros_like(row)
+        grown = np.where(y == token, row[:-1] + 1, row[1:])
+        out[1:] = np.maximum.accumulate(np.maximum(grown, row[1:]))
+        return out
+
+    stride = max(1, math.isqrt(len(a)))
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    kept = [row]
+    for i, token in enumerate(x, 1):
+        row = below(row, token)
+        if i % stride == 0:
+            kept.append(row)
+    table: dict[int, np.ndarray] = {}
     out: list[tuple[str, str]] = []
     i, j = len(a), len(b)
     while i or j:
+        if i and i - 1 not in table:
+            first = (i - 1) // stride * stride
+            table = {first: kept[first // stride]}
+            for r in range(first, i):
+                table[r + 1] = below(table[r], x[r])
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append(("equal", a[i]))
-        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
+        elif j and (not i or table[i][j - 1] >= table[i - 1][j]):
             j -= 1
             out.append(("insert", b[j]))
         else:

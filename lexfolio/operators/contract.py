@@ -175,7 +175,7 @@ def parties_of(clauses: Column) -> Column:
                 src["block_id"].alias("block_id"),
             )
 
-        return F.transform(F.slice(regex_hits(src["full_text"], lx.COMPANY_PATTERN), 1, 2), party).cast(shape)
+        return F.transform(regex_hits(src["full_text"], lx.COMPANY_PATTERN), party).cast(shape)
 
     source = F.coalesce(first_where(clauses, lambda c: c["category"] == "preamble"), F.get(clauses, F.lit(0)))
     return let(source, lambda src: let(named(src), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(by_suffix(src))))

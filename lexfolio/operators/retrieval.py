@@ -138,10 +138,10 @@ def query_tokens(queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def best_per_query(scored: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
-    """Rank by score, then by chunk. The rank filter is a window limit, so each task
+def best_per_query(scored: DataFrame, k: int, order: str = "chunk_id", scope: tuple[str, ...] = ()) -> DataFrame:
+    """Rank by score, then by chunk, within each query and scope. The rank filter is a window limit, so each task
     forwards at most k rows per query before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc(order))
+    w = Window.partitionBy("query_id", *scope).orderBy(F.desc(F.round("score", 9)), F.asc(order))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -176,7 +176,7 @@ def bm25_search(
         .groupBy("query_id", *scope, "chunk_id")
         .agg(F.sum(F.col("qtf") * term_score).alias("score"))
     )
-    ranked = best_per_query(scored, k)
+    ranked = best_per_query(scored, k, scope=scope)
     return ranked.select("query_id", *scope, "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 

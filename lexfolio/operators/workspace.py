@@ -126,11 +126,12 @@ def dead_letters(tasks: DataFrame) -> DataFrame:
     return tasks.filter(F.col("status") == "failed")
 
 
-def claimable_tasks(tasks: DataFrame, now: Column, n: int = 100) -> DataFrame:
-    """The next tasks to run: due, with attempts left, pending or with an expired lease."""
+def claimable_tasks(tasks: DataFrame, now: Column, n: int | None = None) -> DataFrame:
+    """Tasks to run in order: due, with attempts left, pending or with an expired lease; the first ``n`` of them if given."""
     open_ = (F.col("status") == "pending") | (F.col("status").isin("leased", "running") & (F.col("lease_expires_at") < now))
     due = (F.col("next_attempt_after") <= now) & (F.col("attempts") < F.col("max_attempts"))
-    return tasks.filter(open_ & due).orderBy(F.desc("priority"), "created_at", "task_id").limit(n)
+    ready = tasks.filter(open_ & due).orderBy(F.desc("priority"), "created_at", "task_id")
+    return ready if n is None else ready.limit(n)
 
 
 def retry_schedule(tasks: DataFrame) -> DataFrame:

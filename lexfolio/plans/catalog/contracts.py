@@ -64,7 +64,7 @@ named AS (SELECT version_id, j, regexp_replace(regexp_replace(trim(regexp_extrac
   trim(coalesce(nullif(regexp_extract(hit, {_PARTY}, 2), ''), regexp_extract(hit, {_PARTY}, 3)), {WS}) AS alias, pos0 AS start, CAST(pos0 + length(hit) AS INTEGER) AS "end" FROM ph),
 ok AS (SELECT version_id, j, name, CASE WHEN alias <> '' THEN alias ELSE name END AS short_name, start, "end" FROM named WHERE length(name) > 2 AND length(name) < 100 AND NOT starts_with(lower(name), 'the laws')),
 un AS (SELECT version_id, j, name, short_name, {label_case('lower(short_name)', lx.PARTY_ROLES, "'party'")} AS role, start, "end" FROM ok
-  UNION ALL SELECT version_id, j, trim(hit, {WS}), trim(hit, {WS}), 'contracting_party', pos0, CAST(pos0 + length(trim(hit, {WS})) AS INTEGER) FROM fh WHERE version_id NOT IN (SELECT version_id FROM ok) AND j <= 2)
+  UNION ALL SELECT version_id, j, trim(hit, {WS}), trim(hit, {WS}), 'contracting_party', pos0, CAST(pos0 + length(trim(hit, {WS})) AS INTEGER) FROM fh WHERE version_id NOT IN (SELECT version_id FROM ok))
 SELECT version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY j) - 1 AS INTEGER) AS party_index, name, short_name, role, start, "end" FROM un""")
 def _(t):
     rows = segmented(t).select("version_id", c.parties_of(F.col("clauses")).alias("parties"))
@@ -73,13 +73,13 @@ def _(t):
 
 
 @query("c07_company_fallback", f"""WITH {CLAUSES}, src AS (SELECT * FROM clauses WHERE category = 'preamble'), {_hits('src', _COMPANY, 'fh')}
-SELECT version_id, trim(hit, {WS}) AS name, pos0 AS start FROM fh WHERE j <= 2""")
+SELECT version_id, trim(hit, {WS}) AS name, pos0 AS start FROM fh""")
 def _(t):
     from lexfolio.functions.arrays import regex_hits
     from lexfolio.functions.text import squeeze_ends
 
     rows = c.clause_rows(segmented(t)).filter(F.col("category") == "preamble")
-    hits = unnest(rows.withColumn("_h", F.slice(regex_hits(F.col("full_text"), lx.COMPANY_PATTERN), 1, 2)), F.col("_h"), "version_id", "start")
+    hits = unnest(rows.withColumn("_h", regex_hits(F.col("full_text"), lx.COMPANY_PATTERN)), F.col("_h"), "version_id", "start")
     return hits.select("version_id", squeeze_ends(F.col("_item.hit")).alias("name"), (F.col("start") + F.col("_item.start")).alias("start"))
 
 

@@ -49,9 +49,11 @@ def _(t):
     return layout.label_running_lines(blocks, items).select("version_id", "page_number", "reading_order", "text", "block_type")
 
 
-@query("p09_low_glyph_pages", f"WITH {IT} SELECT version_id, page_number, CAST(sum(length(str)) AS BIGINT) AS glyphs FROM it GROUP BY ALL HAVING sum(length(str)) < 50")
+@query("p09_low_glyph_pages", f"WITH {IT} SELECT version_id, page_number, CAST(sum(length(str)) AS BIGINT) AS glyphs FROM it GROUP BY ALL HAVING sum(length(str)) < 50 UNION ALL SELECT DISTINCT version_id, 1000, 0 FROM it")
 def _(t):
-    return layout.low_glyph_pages(corpora.text_items(t))
+    items = corpora.text_items(t)
+    scanned = items.select("version_id", F.lit(1000).alias("page_number"))  # a last page without text
+    return layout.low_glyph_pages(items, pages=items.select("version_id", "page_number").union(scanned))
 
 
 @query("p04_page_rollup", f"WITH {COLS} SELECT version_id, page_number, CASE WHEN page_number = 2 THEN 1 ELSE column_count END AS column_count, CASE WHEN page_number = 2 THEN 1.0::DOUBLE WHEN column_count = 2 THEN 0.88::DOUBLE ELSE 0.95::DOUBLE END AS reading_order_confidence FROM cc")

@@ -9,17 +9,12 @@ from lexfolio.operators import compare, ir
 from lexfolio.plans.catalog.contracts_sql import clauses_cte, quantities_cte
 from lexfolio.plans.catalog.sqlparts import WS, blocks_cte, dice, word_set
 from lexfolio.plans.registry import query
+from lexfolio.plans.reviews import placed_revisions
 from lexfolio.sources import corpora
 
 
 def revision_pairs(t):
-    rows = corpora.revisions(t)
-    placed = rows.select(
-        "pair_id",
-        ir.place_blocks(ir.text_blocks(F.col("base_text")))["blocks"].alias("base_blocks"),
-        ir.place_blocks(ir.text_blocks(F.col("target_text")))["blocks"].alias("target_blocks"),
-    )
-    return placed
+    return placed_revisions(corpora.revisions(t))
 
 
 def alignments(t):

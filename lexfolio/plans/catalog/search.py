@@ -118,16 +118,16 @@ def _(t):
 
 
 @query("r04_bm25_per_version", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX},
-q AS (SELECT CAST(doc_id AS VARCHAR) AS version_id, CAST(doc_id AS BIGINT) AS query_id, unnest({tokens("regexp_extract(text, '^[^.]*')")}) AS term FROM documents),
+q AS (SELECT CAST(doc_id AS VARCHAR) AS version_id, CAST(doc_id // 3 AS BIGINT) AS query_id, unnest({tokens("regexp_extract(text, '^[^.]*')")}) AS term FROM documents),
 qt AS (SELECT version_id, query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
 vstats AS (SELECT version_id, count(*) AS n_chunks, avg(len(t)) AS avg_len FROM toks GROUP BY version_id),
 df AS (SELECT version_id, term, count(*) AS df FROM postings GROUP BY ALL),
 s AS (SELECT query_id, version_id, chunk_id, sum(qtf * ln((n_chunks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))) AS score
   FROM qt JOIN df USING (version_id, term) JOIN postings USING (version_id, term) JOIN vstats USING (version_id) GROUP BY ALL)
-SELECT query_id, version_id, chunk_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+SELECT query_id, version_id, chunk_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
 def _(t):
     chunks = doc_chunks(t)
-    own = t.documents.select(F.col("doc_id").cast("string").alias("version_id"), F.col("doc_id").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
+    own = t.documents.select(F.col("doc_id").cast("string").alias("version_id"), F.expr("doc_id div 3").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
     scope = ("version_id",)
     index = materialize(r.postings(chunks, scope), "postings")
     return r.bm25_search(index, r.chunk_stats(chunks, index, scope), own, 3, scope)

@@ -146,7 +146,7 @@ def _(t):
     return w.dead_letters(tasks(t)).select("task_id", "workflow", "attempts", "created_at")
 
 
-@query("g10_claimable_tasks", f"SELECT task_id, priority, created_at FROM ({TASKS}) WHERE (status = 'pending' OR (status IN ('leased', 'running') AND lease_expires_at < {NOW})) AND next_attempt_after <= {NOW} AND attempts < max_attempts ORDER BY priority DESC, created_at, task_id LIMIT 100")
+@query("g10_claimable_tasks", f"SELECT task_id, priority, created_at FROM ({TASKS}) WHERE (status = 'pending' OR (status IN ('leased', 'running') AND lease_expires_at < {NOW})) AND next_attempt_after <= {NOW} AND attempts < max_attempts")
 def _(t):
     return w.claimable_tasks(tasks(t), F.expr(NOW)).select("task_id", "priority", "created_at")
 

@@ -36,22 +36,32 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def run_batches(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """Apply a batch plan to every micro-batch; each batch owns one folder of the sink."""
+def run_batches(
+    stream: DataFrame, plan: Callable[[DataFrame], DataFrame], label: str, folder: str | None = None, once: tuple[str, ...] = ()
+) -> DataFrame:
+    """Apply a batch plan to every micro-batch; each batch owns one folder of the sink.
+
+    ``folder`` holds the sink and the checkpoint; a later run on the same folder resumes the
+    stream. Rows whose ``once`` columns an earlier batch has published are left out.
+    """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = folder or scratch_path(spark, label)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        plan(batch).write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
+        rows = plan(batch)
+        if once and batch_id:
+            before = batch.sparkSession.read.parquet(f"{path}/data").filter(F.col("batch_id") < batch_id)
+            rows = rows.join(before.select(*once).distinct(), list(once), "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/data/batch_id={batch_id}")
 
     run = stream.writeStream.foreachBatch(publish).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{path}/data").drop("batch_id")
 
 
-def review_stream(texts: DataFrame, label: str = "review-stream") -> DataFrame:
+def review_stream(texts: DataFrame, label: str = "review-stream", folder: str | None = None) -> DataFrame:
     """(version_id, text, playbook) as a stream -> findings."""
-    return run_batches(texts, lambda batch: policy.finding_rows(review_contracts(batch, "playbook")), label)
+    return run_batches(texts, lambda batch: policy.finding_rows(review_contracts(batch, "playbook")), label, folder)
 
 
 def first_contents(texts: DataFrame, event_time: str, delay: str) -> DataFrame:
@@ -60,9 +70,9 @@ def first_contents(texts: DataFrame, event_time: str, delay: str) -> DataFrame:
     return hashed.dropDuplicatesWithinWatermark(["sha256"])
 
 
-def publish_stream(results: DataFrame, tasks: DataFrame, label: str = "publish-stream") -> DataFrame:
-    """Results with their task's current token, once per task and batch."""
-    return run_batches(results, lambda batch: current_results(batch, tasks), label)
+def publish_stream(results: DataFrame, tasks: DataFrame, label: str = "publish-stream", folder: str | None = None) -> DataFrame:
+    """Results with their task's current token, once per task over all batches and restarts."""
+    return run_batches(results, lambda batch: current_results(batch, tasks), label, folder, once=("task_id",))
 
 
 def window_counts(events: DataFrame, event_time: str, kind: str, width: str, delay: str) -> DataFrame:

@@ -91,8 +91,11 @@ def test_token_diff_is_a_shortest_script():
         assert "".join(t for op, t in diff if op != "insert") == a and "".join(t for op, t in diff if op != "delete") == b
         tokens = lambda s: re.findall(r"\S+|\s+", s)
         assert sum(op == "equal" for op, _ in diff) == _lcs_by_table(tokens(a), tokens(b))
-    big = compare.diff_tokens("x " * 300, "x " * 900)
-    assert {op for op, _ in big} == {"delete", "insert"}
+    words = [f"w{i}" for i in range(300)]  # 599 tokens, and one more: no size changes the method
+    big = compare.diff_tokens(" ".join(words), " ".join(words) + "!")
+    assert [op for op, _ in big].count("equal") == 598 and len(big) == 600
+    more = compare.diff_tokens(" ".join(words), " ".join([*words, "new"]))
+    assert [op for op, _ in more] == ["equal"] * 599 + ["insert"] * 2
 
 
 def test_durations_match_one_big_pattern(spark):

@@ -46,3 +46,13 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(src + "/one.parquet")
     out = jobs.run_batches(stream, lambda b: b.select((F.col("id") * 2).alias("x")), "test")
     assert sorted(r["x"] for r in out.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_stream_resumes_and_publishes_each_key_once(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    plan = lambda b: b.select("id")
+    for rows in (range(0, 3), range(2, 5), range(0, 6)):  # each file repeats ids of earlier ones
+        spark.createDataFrame([(i,) for i in rows], "id long").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+        out = jobs.run_batches(stream, plan, "test", folder, once=("id",))  # stopped and started again on one folder
+    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4, 5]
