@@ -6,13 +6,14 @@ hashed keys, equal keys are joined, the edit distance is verified, and a line wi
 earlier one that near is removed; equal lines keep the earliest.
 
 Long lines would emit a key a character. One edit leaves the first or the second half of
-the shorter line in place, so variants are emitted only by lines that share a half with
-another one, and only over the rest of the line behind or before that half.
+the shorter line in place, and again one half of the rest, and so on. So variants are
+emitted only by lines that share all but an eighth with another one, and only over that
+eighth. Lines are known by 64-bit hashes; candidates are verified on their texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexfolio.session import materialize
@@ -26,16 +27,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "at", F.trim("line").alias("line")).filter("line != ''")
 
 
-def _halves() -> Column:
-    """Keys of the halves a line may share: the front or the back half of a line as long, or one shorter."""
-    line, n = F.col("line"), F.col("size")
-    keys = []
-    for least in (n, n - 1):  # length of the shorter of two lines within one edit
-        half = F.floor(least / 2).cast("int")
-        keys.append(F.struct(F.xxhash64(F.lit("front"), least, F.substring(line, F.lit(1), half)).alias("half"), F.substring(line, half + 1, n).alias("rest")))
-        back = least - half
-        keys.append(F.struct(F.xxhash64(F.lit("back"), least, F.substring(line, n - back + 1, back)).alias("half"), F.substring(line, F.lit(1), n - back).alias("rest")))
-    return F.array(*keys)
+def _halved(steps: int) -> Column:
+    """Keys of what a line may share with one within an edit, after ``steps`` halvings.
+
+    An entry pins the length of the shorter line, then of its unshared rest. One edit leaves
+    the front or the back half of that rest in place: the half enters the key, the other
+    half is the next rest (from ``s``, ``r`` characters here, ``m`` in the shorter line).
+    """
+    line, n = F.col("line"), F.length("line")
+
+    def entry(s, r, m, h):
+        return F.struct(s.cast("int").alias("s"), r.cast("int").alias("r"), m.cast("int").alias("m"), h.alias("h"))
+
+    def split(e: Column) -> Column:
+        front = F.shiftright(e["m"], 1)
+        back = e["m"] - front
+        return F.array(
+            entry(e["s"] + front, e["r"] - front, e["m"] - front, F.xxhash64(e["h"], F.lit("front"), F.substring(line, e["s"], front))),
+            entry(e["s"], e["r"] - back, e["m"] - back, F.xxhash64(e["h"], F.lit("back"), F.substring(line, e["s"] + e["r"] - back, back))),
+        )
+
+    keys = F.array(*[entry(F.lit(1), n, m, F.xxhash64(m)) for m in (n, n - 1)])
+    for _ in range(steps):
+        keys = F.flatten(F.transform(keys, split))
+    return keys
 
 
 def _variants(rest: Column) -> Column:
@@ -48,21 +63,33 @@ def _variants(rest: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.xxhash64(rest)), cut))
 
 
-def near_lines(classes: DataFrame, edits: int = 1) -> DataFrame:
-    """(line, first) of the classes (line, first) that have an earlier one within ``edits`` (0 or 1)."""
-    if edits == 0:
-        return classes.limit(0).select("line", "first")
-    sized = classes.withColumn("size", F.length("line"))
-    halved = sized.select(F.xxhash64("line").alias("id"), F.explode(_halves()).alias("h")).select("id", "h.half")
-    ends = halved.groupBy("half").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    often = ends.filter("low != high").select("half")
-    emitted = sized.select("line", "first", F.explode(_halves()).alias("h")).select("line", "first", "h.half", "h.rest").join(often, "half")
-    keyed = emitted.select("line", "first", F.explode(_variants(F.col("rest"))).alias("variant"), "half").select(
-        "line", "first", F.xxhash64("half", "variant").alias("key")
+def _shared(keyed: DataFrame, key: str) -> DataFrame:
+    """Rows (x, key) whose key another x has as well."""
+    same = Window.partitionBy(key)
+    return keyed.withColumn("_low", F.min("x").over(same)).withColumn("_high", F.max("x").over(same)).filter("_low != _high").drop("_low", "_high")
+
+
+def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """x of the line classes (x, doc, at of the earliest) that have an earlier different one within one edit.
+
+    Only hashes are shuffled until few lines are left; then their variants are keys as well.
+    """
+    halves = lines.select("x", F.explode(_halved(1)["h"]).alias("half"))
+    ids = _shared(halves, "half").select("x").distinct()
+    texts = lines.join(ids, "x").join(classes.select("x", "first"), "x").filter(F.struct("doc_id", "at") == F.col("first"))
+    kept = materialize(texts.select("x", "line", "first"), "lines")
+    eighths = kept.select("x", F.posexplode(_halved(3)["h"]).alias("i", "key"))
+    emitting = _shared(eighths, "key").distinct()
+    rest = F.element_at(_halved(3), F.col("i") + 1)
+    emitted = kept.join(emitting, "x").withColumn("e", rest).select(
+        "x", "key", F.explode(_variants(F.substring(F.col("line"), F.col("e.s"), F.col("e.r")))).alias("variant")
     )
-    a = keyed.select("key", F.col("line").alias("earlier"), F.col("first").alias("first_a"))
-    hit = keyed.join(a, "key").filter((F.col("first_a") < F.col("first")) & (F.levenshtein("line", "earlier", edits) >= 0))
-    return hit.select("line", "first").distinct()
+    keyed = materialize(_shared(emitted.select("x", F.xxhash64("key", "variant").alias("key")), "key").distinct(), "variants")
+    pairs = keyed.join(keyed.select("key", F.col("x").alias("x_b")), "key").filter("x < x_b").select("x", "x_b").distinct()
+    a = kept.select("x", F.col("line").alias("l_a"), F.col("first").alias("f_a"))
+    b = kept.select(F.col("x").alias("x_b"), F.col("line").alias("l_b"), F.col("first").alias("f_b"))
+    near = pairs.join(a, "x").join(b, "x_b").filter(F.levenshtein("l_a", "l_b", 1) >= 0)
+    return near.select(F.when(F.col("f_a") < F.col("f_b"), F.col("x_b")).otherwise(F.col("x")).alias("x")).distinct()
 
 
 def dedupe(docs: DataFrame, edits: int = 1, near_chars: int = 20) -> DataFrame:
@@ -70,21 +97,23 @@ def dedupe(docs: DataFrame, edits: int = 1, near_chars: int = 20) -> DataFrame:
 
     Order of lines: by doc_id, then by place. Of equal lines (spaces at the ends aside) the
     earliest stays. A line of ``near_chars`` characters or more also goes if an earlier
-    different line is within ``edits``. Blank lines stay as they are. Null texts stay null,
+    different line is within ``edits`` (0 or 1). Blank lines stay as they are. Null texts stay null,
     with 0 lines. Rows without doc_id stay whole and take no part. Rows that share a doc_id
     hold their lines at the same places: equal places keep equal lines.
     """
-    lines = lines_of(docs)
-    # one pass over the lines: copies fold into classes with their earliest place before the shuffle
-    classes = materialize(lines.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "lines")
-    near = near_lines(classes.filter(F.length("line") >= near_chars), edits)
-    gone = near.select(F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), F.col("line")).alias("y"), F.lit(True).alias("all_gone"))
-    often = classes.filter("n > 1").select(F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), F.col("line")).alias("y"), "first")
-    marked = materialize(often.join(gone, ["x", "y"], "full").select("x", "y", "first", F.coalesce("all_gone", F.lit(False)).alias("all_gone")), "repeats")
-    places = lines.select("doc_id", "at", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), F.col("line")).alias("y"))
+    lines = lines_of(docs).withColumn("x", F.xxhash64("line"))
+    # copies fold into classes with their earliest place before the shuffle; texts stay where they are
+    classes = materialize(lines.groupBy("x").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "classes")
+    again = classes.filter("n > 1").select("x", "first")
+    if edits:
+        gone = near_lines(lines.filter(F.length("line") >= near_chars), classes).withColumn("gone", F.lit(True))
+        again = again.join(gone, "x", "full")
+    else:
+        again = again.withColumn("gone", F.lit(None).cast("boolean"))
     drop = (
-        places.join(marked, ["x", "y"])
-        .filter(F.col("all_gone") | (F.struct("doc_id", "at") != F.col("first")))
+        lines.select("doc_id", "at", "x")
+        .join(materialize(again, "repeats"), "x")
+        .filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "at") != F.col("first")))
         .groupBy("doc_id")
         .agg(F.collect_set("at").alias("_drop_lines"))  # at most the lines of one document
         .withColumnRenamed("doc_id", "_drop_doc")
