@@ -130,9 +130,10 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22) -> DataFrame:
-    """doc_id, shingles of the documents in ``ids``.
+    """set_a, set_b, shingles of the documents in ``ids`` and of a few others.
 
-    A bit field of fixed size over hashed ids spares most others the work; the join is exact.
+    A bit field of fixed size over hashed ids spares most documents the work. Those that pass
+    it by chance stay: whoever joins by the set key does not meet them, and nothing is shuffled.
     """
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << filter_bits)).cast("int")
     field = np.zeros((1 << filter_bits) // 8, np.uint8)
@@ -148,21 +149,24 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22)
             wanted = whole.filter(pa.array((field[b >> 3] >> (b & 7)) & 1 == 1))
             for batch in batches_of(wanted, "text", 4 << 20):
                 sets = [shingles(t) for t in batch.column("text").to_pylist()]
+                keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+                halves = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in ([x >> 64 for x in keys], [x & (2**64 - 1) for x in keys])]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))
                 )
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*halves, lists], ["set_a", "set_b", "shingles"])
 
-    found = docs.select("doc_id", "text", bucket.alias("b")).mapInArrow(run, "doc_id long, shingles array<long>")
-    return found.join(ids, "doc_id", "left_semi")
+    return docs.select("text", bucket.alias("b")).mapInArrow(run, "set_a long, set_b long, shingles array<long>")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("s_b"))
+def linked(pairs: DataFrame, sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity; ``keys``: set key of each representative."""
+    left = sets.select(F.col("set_a").alias("x_a"), F.col("set_b").alias("y_a"), F.col("shingles").alias("s_a"))
+    right = sets.select(F.col("set_a").alias("x_b"), F.col("set_b").alias("y_b"), F.col("shingles").alias("s_b"))
+    of_a = keys.select(F.col("rep").alias("a"), F.col("set_a").alias("x_a"), F.col("set_b").alias("y_a"))
+    of_b = keys.select(F.col("rep").alias("b"), F.col("set_a").alias("x_b"), F.col("set_b").alias("y_b"))
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
+    return pairs.join(of_a, "a").join(of_b, "b").join(left, ["x_a", "y_a"]).join(right, ["x_b", "y_b"]).filter(100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
 
 
 def components(edges: DataFrame, id_: str = "doc_id") -> DataFrame:
@@ -225,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     sized = sized.filter(_needed(F.col("n_a"), F.col("n_b"), F.least("n_a", "n_b"), percent)).select("a", "b")
     first = materialize(sized.union(members.filter("rep != group").select(F.col("group").alias("a"), F.col("rep").alias("b"))), "candidates")
     sets = materialize(sets_of(rows, _ends(first), width), "shingles")
-    links = materialize(linked(first, sets, percent), "links")
+    links = materialize(linked(first, sets, kinds, percent), "links")
     found = components(links)
 
     # exact: every candidate between components that are still apart
@@ -242,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     of_b = placed.select(F.col("group").alias("g_b"), F.col("component").alias("c_b"), F.col("rep").alias("b"))
     second = group_pairs.join(of_a, ["g_a", "c_a"]).join(of_b, ["g_b", "c_b"]).select("a", "b").distinct()
     second = materialize(second, "candidates")
-    more = linked(second, materialize(sets_of(rows, _ends(second), width), "shingles"), percent)
+    more = linked(second, materialize(sets_of(rows, _ends(second), width), "shingles"), kinds, percent)
     total = components(links.union(materialize(more, "links")))
 
     by_set = kinds.join(total.withColumnRenamed("doc_id", "rep"), "rep", "left").select("set_a", "set_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
