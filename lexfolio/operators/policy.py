@@ -50,7 +50,7 @@ def _presence(cond: dict, facts: Column) -> Column:
         details = {"clauseCount": F.size(found), "category": F.lit(cond["category"])}
         if cond["expected"] == "present":
             return _outcome(F.size(found) > 0, details)
-        return _outcome(F.size(found) == 0, details, F.transform(found, lambda f: _cite(f["block_id"], F.left(f["text"], F.lit(150)))))
+        return _outcome(F.size(found) == 0, details, F.transform(found, lambda f: _cite(f["block_id"], f["text"])))
 
     return let(F.filter(facts, fits), judge)
 
@@ -66,7 +66,7 @@ def _threshold(cond: dict, facts: Column) -> Column:
             first_where(f["quantities"], lambda q: q["field"] == cond["field"]),
             lambda q: F.when(q.isNotNull(), F.struct(
                 q["value"].alias("value"), f["block_id"].alias("block_id"),
-                F.when(q["raw"] != "", q["raw"]).otherwise(F.left(f["text"], F.lit(100))).alias("quote"))),
+                F.when(q["raw"] != "", q["raw"]).otherwise(f["text"]).alias("quote"))),
         )
 
     def judge(bad: Column) -> Column:
@@ -106,7 +106,7 @@ def _exception(cond: dict, facts: Column) -> Column:
             missing(F.array_join(F.transform(found, lambda f: F.lower(f["text"])), " ")),
             lambda gone: F.when(
                 (F.size(found) > 0) & (F.size(gone) > 0),
-                _outcome(F.lit(False), {"missingExceptions": F.array_join(gone, ",")}, F.array(_cite(first["block_id"], F.left(first["text"], F.lit(120))))),
+                _outcome(F.lit(False), {"missingExceptions": F.array_join(gone, ",")}, F.array(_cite(first["block_id"], first["text"]))),
             ).otherwise(_outcome(F.lit(True))),
         )
 
@@ -121,7 +121,7 @@ def _asymmetry(cond: dict, facts: Column) -> Column:
             lambda one: F.when(
                 one.isNotNull() & ~mutual,
                 _outcome(F.lit(False), {"asymmetricParty": F.coalesce(F.nullif(one["actor"], F.lit("")), F.lit("unilateral"))},
-                         F.array(_cite(one["block_id"], F.left(one["text"], F.lit(120))))),
+                         F.array(_cite(one["block_id"], one["text"]))),
             ).otherwise(_outcome(F.lit(True))),
         )
 
@@ -138,7 +138,7 @@ def _broken(cond: dict, facts: Column) -> Column:
     def per_clause(f: Column, defined: Column) -> Column:
         return F.transform(
             F.filter(f["references"], lambda r: ~F.array_contains(defined, r)),
-            lambda r: F.struct(r.alias("ref"), _cite(f["block_id"], F.left(f["text"], F.lit(100))).alias("cite")),
+            lambda r: F.struct(r.alias("ref"), _cite(f["block_id"], f["text"]).alias("cite")),
         )
 
     def judge(bad: Column) -> Column:

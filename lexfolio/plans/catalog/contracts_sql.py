@@ -114,19 +114,19 @@ def _leaf(rule: dict) -> str:
         bad = {"<=": ">", ">=": "<"}[c["operator"]]
         return head + f"clause_index, 0 AS j, raw AS quote, {num('value')} AS detail FROM fq WHERE field = '{c['field']}' AND value {bad} {c['threshold']}"
     if c["type"] == "clause_presence" and c["expected"] == "absent":
-        return head + f"clause_index, 0, left(full_text, 150), NULL FROM facts WHERE category = '{c['category']}'"
+        return head + f"clause_index, 0, full_text, NULL FROM facts WHERE category = '{c['category']}'"
     if c["type"] == "clause_presence":
         return (f"SELECT version_id, '{rid}', -1, 0, NULL, NULL FROM contracts WHERE version_id NOT IN (SELECT version_id FROM facts WHERE category = 'at_will' OR "
                 f"{any_of(chr(40) + 'lower(full_text || chr(32) || coalesce(actor, chr(32))))', ('at-will', 'at will', 'with or without cause'))})")
     if c["type"] == "required_exception":
         scope = "'liability', 'liability_limitation'" if c["scopeCategory"] == "liability" else f"'{c['scopeCategory']}'"
         miss = ", ".join(f"CASE WHEN NOT bool_or({any_of('lower(full_text)', (r, *lx.EXCEPTION_SYNONYMS.get(r, ())))}) THEN '{r}' END" for r in c["requiredExceptions"])
-        return (f"SELECT version_id, '{rid}', ci, 0, quote, detail FROM (SELECT version_id, min(clause_index) AS ci, left(arg_min(full_text, clause_index), 120) AS quote, "
+        return (f"SELECT version_id, '{rid}', ci, 0, quote, detail FROM (SELECT version_id, min(clause_index) AS ci, arg_min(full_text, clause_index) AS quote, "
                 f"array_to_string(list_filter([{miss}], lambda x: x IS NOT NULL), ',') AS detail FROM facts WHERE category IN ({scope}) GROUP BY version_id) WHERE detail <> ''")
     if c["type"] == "party_asymmetry":
-        return (f"SELECT version_id, '{rid}', ci, 0, quote, NULL FROM (SELECT version_id, min(CASE WHEN NOT is_bilateral THEN clause_index END) AS ci, left(arg_min(full_text, CASE WHEN NOT is_bilateral THEN clause_index END), 120) AS quote, "
+        return (f"SELECT version_id, '{rid}', ci, 0, quote, NULL FROM (SELECT version_id, min(CASE WHEN NOT is_bilateral THEN clause_index END) AS ci, arg_min(full_text, CASE WHEN NOT is_bilateral THEN clause_index END) AS quote, "
                 f"bool_or({any_of('lower(full_text)', lx.SYMMETRY_WORDS)}) AS m FROM facts WHERE category = '{c['obligationCategory']}' GROUP BY version_id) WHERE NOT m AND ci IS NOT NULL")
-    return (f"SELECT version_id, '{rid}', clause_index, j, left(full_text, 100), ref FROM (SELECT version_id, clause_index, full_text, unnest(refs) AS ref, generate_subscripts(refs, 1) AS j FROM facts) r "
+    return (f"SELECT version_id, '{rid}', clause_index, j, full_text, ref FROM (SELECT version_id, clause_index, full_text, unnest(refs) AS ref, generate_subscripts(refs, 1) AS j FROM facts) r "
             f"WHERE NOT EXISTS (SELECT 1 FROM facts d WHERE d.version_id = r.version_id AND (d.clause_number = r.ref OR lower(d.heading) = r.ref))")
 
 
