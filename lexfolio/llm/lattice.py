@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and fallback bytes joined, the blank that encoding puts first removed."""
-        raw = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+        raw = b"".join(itemgetter(*ids, ids[-1])(self.surface)[:-1]).decode("utf-8", "replace") if ids else ""
         return raw[1:] if raw.startswith(" ") else raw
 
 
@@ -124,7 +125,7 @@ class WordLattices:
             weight[node[starts[a:b]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, counts)), runs))
             value[first:last] = v
         log_share = value - weight[node]
-        order = np.lexsort((length, node))
+        order = np.lexsort((-log_share, node))  # likely choices first: a draw mostly ends at the first
         node, self.ids, self.following, self.log_share = node[order], id_[order], following[order], np.minimum(log_share[order], 0.0)
         self.begin = np.searchsorted(node, np.arange(total + 1))
         share = np.exp(self.log_share)
@@ -167,7 +168,8 @@ def sample(lattices: WordLattices, texts: list[list[str]], k: int, keys: np.ndar
     every inclusion score is 1. All texts advance together: each round draws one path for
     every text that has a node left, through the words behind the place where it branches.
     """
-    root, begin, following, log_share = lattices.root, lattices.begin, lattices.following, lattices.log_share
+    root, begin, following = lattices.root, lattices.begin, lattices.following
+    log_share, cumulative = lattices.log_share, lattices.cumulative
     roots = [np.array([root[w] for w in words], np.int64) for words in texts]
     keys = keys.astype(np.uint64)
     queues: list[list[tuple]] = [[] for _ in texts]
@@ -185,7 +187,11 @@ def sample(lattices: WordLattices, texts: list[list[str]], k: int, keys: np.ndar
         where, step, parts = np.arange(len(node)), 0, []
         while len(node):
             u = _uniform(key[text[where]], (number[where] << 20) + step, 8 * round_ + 1)
-            taken = np.searchsorted(lattices.cumulative, node + u, side="right")
+            taken, target = begin[node], node + u
+            behind = np.flatnonzero(cumulative[taken] <= target)
+            while len(behind):
+                taken[behind] += 1
+                behind = behind[cumulative[taken[behind]] <= target[behind]]
             parts.append((where, node, taken))
             node = following[taken]
             more = node >= 0
@@ -314,9 +320,12 @@ def sample_segmentations(
                         good = pieces.decode(ids.tolist()) == text
                         for column, v in zip(columns, (doc, s, ids, len(ids), log_prob, perturbed, inclusion, good), strict=True):
                             column.append(v)
-                types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
+                types = (pa.int64(), pa.int32(), None, pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 names = ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                arrays = [pa.array(c, t) if t else None for c, t in zip(columns, types, strict=True)]
+                offsets = np.concatenate(([0], np.cumsum(columns[3]))).astype(np.int32)
+                arrays[2] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(columns[2]), pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key"))
     return rows.mapInArrow(
