@@ -4,7 +4,8 @@ Shingles are put in one global order, from rare to frequent. Two sets of sizes n
 similarity t share a shingle among the first  n - ceil(t n) + 1  of each (their prefixes).
 Documents with one prefix and one size form a group; groups, not documents, meet in the
 join, are filtered by size and by the position of the shared shingle, and only then are
-their members expanded and verified on the whole sets.
+their members expanded and verified on the whole sets. Before sets are fetched, bit fields
+of a fixed size rule out most pairs that share a passage and little else.
 
 The result is the connected components of the links. A link inside a component that is
 already known adds nothing, so the join runs twice: first every member of a group, and
@@ -34,6 +35,7 @@ from lexfolio.session import materialize
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 BUCKET_BITS = 21
 CHUNKS = 64
+PARITY_BITS = 1024
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,6 +76,16 @@ def bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: whether an odd number of shingles falls on each.
+
+    Where two such fields differ, one of the sets has a shingle that the other lacks, so the
+    number of differing bits never exceeds the size of the symmetric difference.
+    """
+    odd = np.bincount((shingles % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
     """In how many documents the shingles of each hash bucket occur: 2^BUCKET_BITS counters, summed by Spark."""
 
@@ -100,7 +112,7 @@ def bucket_counts(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
-    """doc_id, n, set_a, set_b (key of the whole set), prefix_key, prefix (shingles, rarest first)."""
+    """doc_id, n, set_a, set_b (key of the whole set), prefix_key, parity, prefix (shingles, rarest first)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,21 +124,26 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
                     s = shingles(text)
                     n = len(s)
                     if not n:
-                        rows.append((0, 0, 0, 0, s))
+                        rows.append((0, 0, 0, 0, s, parity(s)))
                         continue
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
                     first = n - -(-n * percent // 100) + 1
                     rarity = (counts[bucket_of(s)].astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
                     p = s[np.sort(np.partition(rarity, first - 1)[:first]).astype(np.uint64) & np.uint64(2**32 - 1)]
-                    rows.append((n, key >> 64, key & (2**64 - 1), xxhash.xxh3_64_intdigest(p.tobytes()), p))
+                    rows.append((n, key >> 64, key & (2**64 - 1), xxhash.xxh3_64_intdigest(p.tobytes()), p, parity(s)))
                 signed = [pa.array(np.array([r[i] for r in rows], np.uint64).view(np.int64)) for i in range(4)]
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(r[4]) for r in rows]))), pa.int32()),
                     pa.array(np.concatenate([r[4] for r in rows]).view(np.int64)),
                 )
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, lists], ["doc_id", "n", "set_a", "set_b", "prefix_key", "prefix"])
+                words = PARITY_BITS // 64
+                fields = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(rows) + 1) * words, pa.int32()), pa.array(np.concatenate([r[5] for r in rows] or [np.empty(0, np.int64)]))
+                )
+                names = ["doc_id", "n", "set_a", "set_b", "prefix_key", "parity", "prefix"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *signed, fields, lists], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, prefix_key long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, set_a long, set_b long, prefix_key long, parity array<long>, prefix array<long>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22) -> DataFrame:
@@ -159,6 +176,19 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22)
     return docs.select("text", bucket.alias("b")).mapInArrow(run, "set_a long, set_b long, shingles array<long>")
 
 
+def not_apart(pairs: DataFrame, known: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of representatives that their parity fields do not rule out; no link is lost."""
+    own = kinds.select(F.col("rep").alias("doc_id"), "set_a", "set_b").join(_ends(pairs), "doc_id")
+    fields = materialize(
+        known.select("doc_id", "set_a", "set_b", "n", "parity").join(own, ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "parity"),
+        "parities",
+    )
+    of_a = fields.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("f_a"))
+    of_b = fields.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("f_b"))
+    differing = F.aggregate(F.zip_with("f_a", "f_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, v: total + v)
+    return pairs.join(of_a, "a").join(of_b, "b").filter((100 + percent) * differing <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity; ``keys``: set key of each representative."""
     left = sets.select(F.col("set_a").alias("x_a"), F.col("set_b").alias("y_a"), F.col("shingles").alias("s_a"))
@@ -207,12 +237,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     # copies: one representative for each set; groups: one leader for each prefix and size
     kinds = materialize(small.filter("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.min("prefix_key").alias("prefix_key")), "sets")
     heads = kinds.groupBy("prefix_key", "n").agg(F.min("rep").alias("group"))
-    members = materialize(kinds.join(heads, ["prefix_key", "n"]).select("rep", "group", "n"), "groups")
+    members = materialize(kinds.join(heads, ["prefix_key", "n"]).select("rep", "group", "n", "set_a", "set_b"), "groups")
 
-    leaders = members.filter("rep = group").select(F.col("group").alias("doc_id"), F.col("n").alias("n_own"))
+    leaders = members.filter("rep = group").select(F.col("group").alias("doc_id"), "set_a", "set_b")
     posted = (
-        known.join(leaders, "doc_id")
-        .filter("n = n_own")
+        known.join(leaders, ["doc_id", "set_a", "set_b"])
         .dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("group"), "n", F.posexplode("prefix").alias("at", "shingle"))
         .select("shingle", "group", (F.col("n") * F.lit(1 << 31) + F.col("at")).alias("place"))
@@ -228,6 +257,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     sized = sized.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
     sized = sized.filter(_needed(F.col("n_a"), F.col("n_b"), F.least("n_a", "n_b"), percent)).select("a", "b")
     first = materialize(sized.union(members.filter("rep != group").select(F.col("group").alias("a"), F.col("rep").alias("b"))), "candidates")
+    first = materialize(not_apart(first, known, kinds, percent), "candidates")
     sets = materialize(sets_of(rows, _ends(first), width), "shingles")
     links = materialize(linked(first, sets, kinds, percent), "links")
     found = components(links)
@@ -246,6 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     of_b = placed.select(F.col("group").alias("g_b"), F.col("component").alias("c_b"), F.col("rep").alias("b"))
     second = group_pairs.join(of_a, ["g_a", "c_a"]).join(of_b, ["g_b", "c_b"]).select("a", "b").distinct()
     second = materialize(second, "candidates")
+    second = materialize(not_apart(second, known, kinds, percent), "candidates")
     more = linked(second, materialize(sets_of(rows, _ends(second), width), "shingles"), kinds, percent)
     total = components(links.union(materialize(more, "links")))
 

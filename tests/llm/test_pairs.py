@@ -168,3 +168,11 @@ def test_license_matches_are_exactly_the_contained_templates(docs_frame):
             if len(w & set(t.split())) >= 0.9 * len(w):
                 want.add((i, label))
     assert {(r.doc_id, r.label) for r in got} == want and want
+
+
+def test_parity_fields_never_exceed_the_difference():
+    shingles = ngram_join.Shingles(5)
+    sets = [shingles(t) for _, t in _near_texts()]
+    for a, b in itertools.combinations(sets, 2):
+        differing = sum(int(x).bit_count() for x in (ngram_join.parity(a) ^ ngram_join.parity(b)).view("u8"))
+        assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
