@@ -11,7 +11,9 @@ The result is the connected components of the links. A link inside a component t
 already known adds nothing, so the join runs twice: first every member of a group, and
 every group that holds a shingle, is verified against a leader of it (as many pairs as
 rows); then, exactly, all remaining candidates between different components. A group of
-thousands of near copies is joined by its leader and never expanded into its pairs.
+thousands of near copies is joined by its leader and never expanded into its pairs. Members
+of one group that the leader leaves in different components are joined by what follows the
+prefix they have in common.
 
 The order comes from a fixed number of counters: a shingle's frequency is that of its
 hash bucket. Any total order gives the exact result; this one puts frequent passages last
@@ -76,6 +78,16 @@ def bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def rarest(shingles: np.ndarray, counts: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Places ``start`` to ``stop`` of the shingles in the global order, rarest first."""
+    rarity = (counts[bucket_of(shingles)].astype(np.uint64) << np.uint64(32)) | np.arange(len(shingles), dtype=np.uint64)
+    return shingles[np.sort(np.partition(rarity, stop - 1)[:stop])[start:].astype(np.uint64) & np.uint64(2**32 - 1)]
+
+
+def prefix_size(n: int, percent: int) -> int:
+    return n - -(-n * percent // 100) + 1
+
+
 def parity(shingles: np.ndarray) -> np.ndarray:
     """PARITY_BITS bits: whether an odd number of shingles falls on each.
 
@@ -127,9 +139,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> D
                         rows.append((0, 0, 0, 0, s, parity(s)))
                         continue
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
-                    first = n - -(-n * percent // 100) + 1
-                    rarity = (counts[bucket_of(s)].astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-                    p = s[np.sort(np.partition(rarity, first - 1)[:first]).astype(np.uint64) & np.uint64(2**32 - 1)]
+                    p = rarest(s, counts, 0, prefix_size(n, percent))
                     rows.append((n, key >> 64, key & (2**64 - 1), xxhash.xxh3_64_intdigest(p.tobytes()), p, parity(s)))
                 signed = [pa.array(np.array([r[i] for r in rows], np.uint64).view(np.int64)) for i in range(4)]
                 lists = pa.ListArray.from_arrays(
@@ -176,6 +186,43 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22)
     return docs.select("text", bucket.alias("b")).mapInArrow(run, "set_a long, set_b long, shingles array<long>")
 
 
+def inner_pairs(docs: DataFrame, split: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """Candidates (a, b) inside one group, between different components; no link is lost.
+
+    ``split``: rep, group, component, set_a, set_b. Members have their prefix and their size in
+    common. Of the n shingles a link needs  k = ceil(2 percent n / (100 + percent)), so linked members
+    share one of the first  n - k + 1  beyond the prefix. Where k is within the prefix, the leader
+    has linked all members already.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            column = batch.column("shingles")
+            more = []
+            for i in range(len(column)):
+                s = column[i].values.to_numpy().view(np.uint64)
+                n = len(s)
+                first, extra = prefix_size(n, percent), n - -(-2 * percent * n // (100 + percent)) + 1
+                more.append(rarest(s, counts, first, min(n, first + extra)) if n else s)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum([len(m) for m in more]))), pa.int32()),
+                pa.array(np.concatenate([*more, np.empty(0, np.uint64)]).view(np.int64)),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column("set_a"), batch.column("set_b"), lists], ["set_a", "set_b", "more"])
+
+    sets = sets_of(docs, split.select(F.col("rep").alias("doc_id")), width)
+    beyond = sets.mapInArrow(run, "set_a long, set_b long, more array<long>")
+    held = split.join(beyond, ["set_a", "set_b"]).dropDuplicates(["rep"]).select("rep", "group", "component", F.explode("more").alias("shingle"))
+    token = Window.partitionBy("group", "shingle")
+    mixed = held.withColumn("mixed", F.min("component").over(token) != F.max("component").over(token)).filter("mixed").drop("mixed")
+    mixed = materialize(mixed, "inner")
+    a = mixed.select("group", "shingle", F.col("rep").alias("a"), F.col("component").alias("c_a"))
+    b = mixed.select("group", "shingle", F.col("rep").alias("b"), F.col("component").alias("c_b"))
+    return a.join(b, ["group", "shingle"]).filter("c_a < c_b").select("a", "b").distinct()
+
+
 def not_apart(pairs: DataFrame, known: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives that their parity fields do not rule out; no link is lost."""
     own = kinds.select(F.col("rep").alias("doc_id"), "set_a", "set_b").join(_ends(pairs), "doc_id")
@@ -231,7 +278,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     shingles and is its own component; one with fewer than ``width`` words has one shingle.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = materialize(prefixes(rows, bucket_counts(rows, width), width, percent), "prefixes")
+    counts = bucket_counts(rows, width)
+    known = materialize(prefixes(rows, counts, width, percent), "prefixes")
     spoken = F.max(F.struct("n", (-F.col("set_a")).alias("x"), "set_a", "set_b", "prefix_key")).alias("s")
     small = materialize(known.groupBy("doc_id").agg(spoken).select("doc_id", "s.n", "s.set_a", "s.set_b", "s.prefix_key"), "documents")
     # copies: one representative for each set; groups: one leader for each prefix and size
@@ -262,19 +310,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     links = materialize(linked(first, sets, kinds, percent), "links")
     found = components(links)
 
-    # exact: every candidate between components that are still apart
-    placed = members.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("rep", "group", F.coalesce("component_id", "rep").alias("component"))
+    # exact: every candidate between components that are still apart, of two groups or of one
+    placed = members.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
+        "rep", "group", F.coalesce("component_id", "rep").alias("component"), "set_a", "set_b"
+    )
+    parts = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    split = materialize(placed.join(parts.select("group"), "group", "left_semi"), "split")
     apart = shared.select("shingle", "group", "n", "at").join(placed.select("group", "component").distinct(), "group")
     token_parts = F.min("component").over(token) != F.max("component").over(token)
     apart = materialize(apart.withColumn("mixed", token_parts).filter("mixed").drop("mixed"), "apart")
     a = apart.select("shingle", F.col("group").alias("g_a"), F.col("n").alias("n_a"), F.col("at").alias("p_a"), F.col("component").alias("c_a"))
     b = apart.select("shingle", F.col("group").alias("g_b"), F.col("n").alias("n_b"), F.col("at").alias("p_b"), F.col("component").alias("c_b"))
     most = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    fits = (F.col("c_a") < F.col("c_b")) & _needed(F.col("n_a"), F.col("n_b"), most, percent)
+    fits = (F.col("g_a") != F.col("g_b")) & (F.col("c_a") < F.col("c_b")) & _needed(F.col("n_a"), F.col("n_b"), most, percent)
     group_pairs = a.join(b, "shingle").filter(fits).select("g_a", "g_b", "c_a", "c_b").distinct()
     of_a = placed.select(F.col("group").alias("g_a"), F.col("component").alias("c_a"), F.col("rep").alias("a"))
     of_b = placed.select(F.col("group").alias("g_b"), F.col("component").alias("c_b"), F.col("rep").alias("b"))
     second = group_pairs.join(of_a, ["g_a", "c_a"]).join(of_b, ["g_b", "c_b"]).select("a", "b").distinct()
+    if not split.isEmpty():
+        second = second.union(inner_pairs(rows, split, counts, width, percent)).distinct()
     second = materialize(second, "candidates")
     second = materialize(not_apart(second, known, kinds, percent), "candidates")
     more = linked(second, materialize(sets_of(rows, _ends(second), width), "shingles"), kinds, percent)

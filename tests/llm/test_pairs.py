@@ -56,6 +56,30 @@ def test_ngram_join_matches_brute_force(docs_frame):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _components(rows)
 
 
+def _one_group(first_id, seed):
+    """Texts of one prefix and size: the first is too far from the others, which are alike; fillers make the ends frequent."""
+    head, ends = prose(seed, 12).split(), [["la", "lb"], ["xa", "xb"], ["xa", "xc"], ["xa", "xd"], ["za", "zb"]]
+    ends = [[f"{w}{seed}" for w in end] for end in ends]
+    rows = [(first_id + k, " ".join(head + end)) for k, end in enumerate(ends)]
+    fill = [f"{prose(seed + 50 * (k + 1) + j, 20)} {' '.join(head[-4:] + end)}" for k, end in enumerate(ends) for j in range(7)]
+    return rows, [(first_id + 100 + k, t) for k, t in enumerate(fill)]
+
+
+def test_ngram_join_links_members_of_a_group_that_no_other_group_meets(docs_frame):
+    rows, fill = _one_group(1000, 21)
+    more, more_fill = _one_group(3000, 22)
+    every = rows + fill + more + more_fill
+    want = _components(every)
+    assert [want[1000 + k][1] for k in range(5)] == [1000, 1001, 1001, 1001, 1004]
+    # the members are one group, and no other text holds its prefix
+    counts = ngram_join.bucket_counts(frame := docs_frame([(i, t, "en") for i, t in every]), 5)
+    found = {r.doc_id: r for r in ngram_join.prefixes(frame, counts, 5, 75).collect()}
+    assert {found[1000 + k].prefix_key for k in range(5)} == {found[1000].prefix_key}
+    assert not any(set(found[1000].prefix) & set(found[i].prefix) for i, _ in fill)
+    got = ngram_join.near_duplicates(frame)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_ngram_join_of_repeated_rows_and_empty_table(docs_frame):
     text = prose(5, 30)
     got = ngram_join.near_duplicates(docs_frame([(1, text, "en"), (1, text, "en"), (2, text, None)])).collect()
