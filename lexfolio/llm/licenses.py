@@ -1,18 +1,24 @@
 """License scan, natively in Spark SQL: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, as the set of its words. It meets a template when it holds at
-least ``threshold`` of the template's words (containment). Words are put in one global
-order, from rare to frequent over all documents; a block that meets a template must hold
-one of the template's first  n - ceil(threshold n) + 1  words, which makes the join
-candidates. The length filter leaves out blocks with too few words, the positional filter
-those that first meet a template too late in its order.
+A block is a window of words, half as long again as the template, at any place of a text;
+line breaks neither cut nor widen it. It meets a template when it holds at least
+``threshold`` of the template's words (containment). Words are put in one global order,
+from rare to frequent over all documents; a text with a block that meets a template must
+hold one of the template's first  n - ceil(threshold n) + 1  words, which makes the join
+candidates. The length filter leaves out texts with too few words, the positional filter
+those that first meet a template too late in its order. The windows of what is left are
+verified.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexfolio.functions.arrays import let
+
 #: Phrases of the base labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: License notices as they are commonly written (fixed values): label and words.
@@ -42,40 +48,50 @@ def _plain(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _GAP, " ")), F.lit(" "))
 
 
-def matches(docs: DataFrame, row: list[str], templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """``row`` columns, label and containment of every (line, template) that meets the threshold.
+def _most_in_window(text: Column, words: Column, span: Column) -> Column:
+    """The most distinct ``words`` that any ``span`` successive words of a text hold."""
+    every = F.filter(F.split(_plain(text), " "), lambda w: w != "")
+    hits = F.filter(F.transform(every, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(words, x["w"]))
+    # a window with the most begins at a hit and has at most ``span`` of them
+    held = lambda at: F.transform(at, lambda x, k: F.filter(F.slice(at, k + 1, span), lambda y: y["i"] < x["i"] + span))
+    return let(hits, lambda at: F.array_max(F.transform(held(at), lambda h: F.size(F.array_distinct(F.transform(h, lambda y: y["w"]))))))
+
+
+def matches(docs: DataFrame, row: list[str], templates=TEMPLATES, threshold: float = 0.9, stretch: float = 1.5) -> DataFrame:
+    """``row`` columns, label and containment of every (row, template) that meets the threshold.
 
-    ``templates``: (label, words) pairs. Null and empty texts have no lines. Repeated rows
-    repeat their matches.
+    ``templates``: (label, words) pairs. The words are looked for in windows of ``stretch`` times
+    the template's length, the best one counts. Null and empty texts have no windows. Repeated
+    rows repeat their matches.
     """
     spark = docs.sparkSession
-    sets = [(i, label, sorted(set(words.split()))) for i, (label, words) in enumerate(templates)]
-    vocabulary = sorted({w for _, _, s in sets for w in s})
-    lines = docs.select(*row, F.explode(F.split("text", "\n")).alias("line"))
+    sets = [(i, label, sorted(set(words.split())), math.ceil(stretch * len(words.split()))) for i, (label, words) in enumerate(templates)]
+    vocabulary = sorted({w for _, _, s, _ in sets for w in s})
     # words of templates alone matter to prefixes and overlaps
-    held = lines.withColumn("words", F.array_distinct(F.filter(F.split(_plain(F.col("line")), " "), lambda w: w.isin(vocabulary))))
-    shortest = min(-(-len(s) * int(threshold * 1000) // 1000) for _, _, s in sets)
-    blocks = held.filter(F.size("words") >= min(2, shortest)).select(*row, "words")
+    held = docs.select(*row, F.col("text").alias("_text"), F.array_distinct(F.filter(F.split(_plain(F.col("text")), " "), lambda w: w.isin(vocabulary))).alias("words"))
+    shortest = min(-(-len(s) * int(round(threshold * 1000)) // 1000) for _, _, s, _ in sets)
+    blocks = held.filter(F.size("words") >= shortest)
     often = {r[0]: r[1] for r in blocks.select(F.explode("words").alias("w")).groupBy("w").count().collect()}  # template words only
     order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
-    for i, label, words in sets:
+    for i, label, words, span in sets:
         by_rank = sorted(words, key=rank.__getitem__)
         need = -(-len(words) * int(round(threshold * 1000)) // 1000)
         for place, w in enumerate(by_rank[: len(words) - need + 1]):
-            prefixes.append((w, place, i, label, by_rank, need))
-    index = spark.createDataFrame(prefixes, "w string, place int, template int, label string, template_words array<string>, need int")
-    probes = blocks.withColumn("w", F.explode("words"))
-    common = F.size(F.array_intersect("words", "template_words"))
-    return (
+            prefixes.append((w, place, i, label, by_rank, need, span))
+    index = spark.createDataFrame(prefixes, "w string, place int, template int, label string, template_words array<string>, need int, span int")
+    first = sorted({p[0] for p in prefixes})
+    probes = blocks.withColumn("w", F.explode(F.filter("words", lambda w: w.isin(first))))
+    met = (
         probes.join(F.broadcast(index), "w")  # a few words a template
         .filter((F.size("words") >= F.col("need")) & (F.size("template_words") - F.col("place") >= F.col("need")))
         # the first word in common alone speaks for the pair
         .filter(F.array_position("template_words", F.col("w")) == F.array_min(F.transform(F.array_intersect("template_words", "words"), lambda x: F.array_position("template_words", x))))
-        .filter(common >= F.col("need"))
-        .select(*row, "label", (common / F.size("template_words")).alias("containment"))
+        .filter(F.size(F.array_intersect("words", "template_words")) >= F.col("need"))
     )
+    most = _most_in_window(F.col("_text"), F.col("template_words"), F.col("span"))
+    return met.withColumn("_most", most).filter(F.col("_most") >= F.col("need")).select(*row, "label", (F.col("_most") / F.size("template_words")).alias("containment"))
 
 
 def _places(phrase: str) -> dict[str, Column]:

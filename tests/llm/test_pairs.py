@@ -194,6 +194,20 @@ def test_license_matches_are_exactly_the_contained_templates(docs_frame):
     assert {(r.doc_id, r.label) for r in got} == want and want
 
 
+def test_license_blocks_follow_the_text_and_not_its_lines(docs_frame):
+    mit = "Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software\n * and associated documentation files"
+    bsd = "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted"
+    gap = prose(7, 40)
+    rows = [
+        (1, f"{gap}\n{mit} (the Software)"), (2, f"{bsd} provided that\n{gap}"), (3, f"{gap} {bsd} {gap}".replace("\n", " ")),
+        (4, f"gnu {gap} lesser {gap} general {gap} public {gap} license"), (5, f"{'public license general ' * 4000} gnu lesser general public license"),
+        (6, f"gnu lesser {gap} gnu, Lesser\n\nGeneral public (own) license"), (7, f"gnu lesser general {gap}\npublic license {gap}"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs_frame([(i, t, "en") for i, t in rows])).collect()}
+    assert [got[i][0] for i in range(1, 8)] == ["mit", "bsd", "bsd", "", "lgpl", "lgpl", ""]
+    assert got[1][1] == got[2][1] == got[5][1] == 1.0 and got[4][1] == got[7][1] == 0.0
+
+
 def test_parity_fields_never_exceed_the_difference():
     shingles = ngram_join.Shingles(5)
     sets = [shingles(t) for _, t in _near_texts()]
