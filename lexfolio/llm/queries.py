@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, lattice, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
+from lexfolio.llm import bloom_lm, collocations, lattice, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_gumbel_segmentations")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
