@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexfolio.llm import bloom_lm, collocations, filter_audit, lattice, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
+from lexfolio.llm import bloom_lm, bpe_chunks, collocations, filter_audit, lattice, licenses, line_dedup, ngram_join, packing, ppm, pu_quality, spotsigs, vptree
 from lexfolio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_filter_audit", filter_audit.AUDIT_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@query("op11_bpe_chunks")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_chunks.digests(table(spark, sf_dir, "documents"))
