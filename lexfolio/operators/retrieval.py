@@ -7,7 +7,7 @@ document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -183,8 +183,17 @@ def bm25_search(
 # --- dense search ----------------------------------------------------------------
 
 
-def embed_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("vector", embed(indexed_text()))
+def embed_chunks(chunks: DataFrame, embedder: Callable[[Column], Column] = embed) -> DataFrame:
+    """Chunks with their vector; those that come with one keep it."""
+    return chunks if "vector" in chunks.columns else chunks.withColumn("vector", embedder(indexed_text()))
+
+
+def dense_in_scope(items: DataFrame, queries: DataFrame, k: int, scope: tuple[str, ...], item: str = "chunk_id") -> DataFrame:
+    """Cosine top-k among the items of each query's own scope: an equi-join, no query meets another scope."""
+    own = items.select(*scope, F.col(item).alias("chunk_id"), F.col("vector").alias("a"))
+    pairs = queries.select(*scope, "query_id", F.col("vector").alias("b")).join(own, list(scope))
+    scored = pairwise_cosine(pairs).withColumnRenamed("similarity", "score").drop("a", "b")
+    return best_per_query(scored, k, scope=scope).select("query_id", *scope, "chunk_id", F.round("score", 4).alias("score"), "rank")
 
 
 def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -273,7 +282,7 @@ def pairwise_cosine(pairs: DataFrame) -> DataFrame:
 # --- exact terms -------------------------------------------------------------------
 
 
-def extract_terms(queries: DataFrame) -> DataFrame:
+def extract_terms(queries: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, pos, term, term_type): clause references, amounts, durations, dates, skills, one quoted phrase."""
 
     def typed(arr: Column, kind: str) -> Column:
@@ -286,61 +295,94 @@ def extract_terms(queries: DataFrame) -> DataFrame:
     arrays.append(typed(F.filter(words, lambda w: F.array_contains(skills, w)), "named_skill"))
     quoted = F.regexp_extract(q, '"([^"]+)"', 1)
     arrays.append(typed(F.filter(F.array(quoted), lambda t: t != ""), "verbatim"))
-    return queries.select("query_id", F.posexplode(F.concat(*arrays)).alias("pos", "t")).select(
-        "query_id", "pos", "t.term", "t.term_type"
+    return queries.select(*scope, "query_id", F.posexplode(F.concat(*arrays)).alias("pos", "t")).select(
+        *scope, "query_id", "pos", "t.term", "t.term_type"
     )
 
 
-def exact_search(chunks: DataFrame, terms: DataFrame, k: int = 10) -> DataFrame:
-    """Sum of term scores per chunk that contains them; the label is the last term hit."""
-    needles = terms.filter(F.trim("term") != "").select(F.col("term").alias("needle_id"), F.col("term").alias("needle")).distinct()
-    texts = chunks.select(F.col("chunk_id").alias("text_id"), F.lower(indexed_text()).alias("text"))
-    hits = contains_join(needles, texts)
+def exact_search(chunks: DataFrame, terms: DataFrame, k: int = 10, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Sum of term scores per chunk that contains them; the label is the last term hit.
+
+    With a scope a term meets the chunks of its own scope only.
+    """
     score = F.coalesce(*[F.when(F.col("term_type") == kind, F.lit(s)) for kind, s in lx.TERM_SCORES.items()])
-    scored = (
-        hits.join(terms.withColumn("needle_id", F.col("term")), "needle_id")
-        .groupBy("query_id", F.col("text_id").alias("chunk_id"))
-        .agg(F.sum(score).alias("score"), F.max_by(F.struct("term", "term_type"), "pos").alias("_l"))
+    if scope:
+        texts = chunks.select(*scope, "chunk_id", F.lower(indexed_text()).alias("_low"))
+        pairs = terms.filter(F.trim("term") != "").join(texts, list(scope)).filter(F.contains("_low", F.col("term")))
+    else:
+        pairs = _term_hits(chunks, terms)
+    scored = pairs.groupBy("query_id", *scope, "chunk_id").agg(
+        F.sum(score).alias("score"), F.max_by(F.struct("term", "term_type"), "pos").alias("_l")
     )
-    return best_per_query(scored, k).select(
-        "query_id", "chunk_id", F.col("_l.term").alias("matched_term"), F.col("_l.term_type").alias("term_type"),
+    return best_per_query(scored, k, scope=scope).select(
+        "query_id", *scope, "chunk_id", F.col("_l.term").alias("matched_term"), F.col("_l.term_type").alias("term_type"),
         F.round("score", 2).alias("score"), "rank",
     )
 
 
+def _term_hits(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms next to every chunk of the corpus that contains them."""
+    needles = terms.filter(F.trim("term") != "").select(F.col("term").alias("needle_id"), F.col("term").alias("needle")).distinct()
+    texts = chunks.select(F.col("chunk_id").alias("text_id"), F.lower(indexed_text()).alias("text"))
+    hits = contains_join(needles, texts)
+    return hits.join(terms.withColumn("needle_id", F.col("term")), "needle_id").withColumnRenamed("text_id", "chunk_id")
+
+
 # --- fusion --------------------------------------------------------------------------
 
 
-def fuse_rankings(rankings: dict[str, DataFrame], k: int | None = None, rrf_k: int = lx.RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, chunk_id, rank) lists."""
+def fuse_rankings(
+    rankings: dict[str, DataFrame],
+    k: int | None = None,
+    rrf_k: int = lx.RRF_K,
+    weights: dict[str, float] | None = None,
+    scope: tuple[str, ...] = (),
+) -> DataFrame:
+    """Reciprocal rank fusion of (query_id, scope, chunk_id, rank) lists."""
     weights = weights or lx.RRF_WEIGHTS
     union = None
     for channel, ranked in rankings.items():
-        part = ranked.select("query_id", "chunk_id", F.col("rank").alias("_rank"), F.lit(channel).alias("_channel"))
+        part = ranked.select("query_id", *scope, "chunk_id", F.col("rank").alias("_rank"), F.lit(channel).alias("_channel"))
         union = part if union is None else union.unionByName(part)
     weight = F.coalesce(*[F.when(F.col("_channel") == c, F.lit(weights[c])) for c in rankings])
-    fused = union.groupBy("query_id", "chunk_id").agg(
+    fused = union.groupBy("query_id", *scope, "chunk_id").agg(
         F.sum(weight / (F.lit(rrf_k) + F.col("_rank"))).alias("score"),
         *[F.max(F.when(F.col("_channel") == c, F.col("_rank"))).alias(f"{c}_rank") for c in rankings],
     )
     ranks = [f"{c}_rank" for c in rankings]
     if k is None:
-        return fused.select("query_id", "chunk_id", F.round("score", 6).alias("rrf_score"), *ranks)
-    return best_per_query(fused, k).select("query_id", "chunk_id", F.round("score", 6).alias("rrf_score"), *ranks, "rank")
+        return fused.select("query_id", *scope, "chunk_id", F.round("score", 6).alias("rrf_score"), *ranks)
+    return best_per_query(fused, k, scope=scope).select("query_id", *scope, "chunk_id", F.round("score", 6).alias("rrf_score"), *ranks, "rank")
+
 
+def hybrid_search(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    index: DataFrame | None = None,
+    scope: tuple[str, ...] = (),
+    embedder: Callable[[Column], Column] = embed,
+    rrf_k: int = lx.RRF_K,
+    weights: dict[str, float] | None = None,
+) -> DataFrame:
+    """BM25, dense and exact rankings of 2k each, fused to the top k with their chunks.
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
-    """BM25, dense and exact rankings of 2k each, fused to the top k with their chunks."""
-    index = materialize(postings(chunks), "postings") if index is None else index
+    ``scope`` limits each query to the chunks that share its scope columns, statistics
+    included. ``embedder`` maps a text column to vectors; chunks with a ``vector`` column
+    are not embedded again.
+    """
+    index = materialize(postings(chunks, scope), "postings") if index is None else index
+    vectors = queries.select(*scope, "query_id", embedder(F.col("query")).alias("vector"))
+    embedded = embed_chunks(chunks, embedder)
     fused = fuse_rankings(
         {
-            "bm25": bm25_search(index, chunk_stats(chunks, index), queries, 2 * k),
-            "dense": dense_top_k(embed_chunks(chunks), queries.select("query_id", embed(F.col("query")).alias("vector")), 2 * k),
-            "exact": exact_search(chunks, extract_terms(queries), 2 * k),
+            "bm25": bm25_search(index, chunk_stats(chunks, index, scope), queries, 2 * k, scope),
+            "dense": dense_in_scope(embedded, vectors, 2 * k, scope) if scope else dense_top_k(embedded, vectors, 2 * k),
+            "exact": exact_search(chunks, extract_terms(queries, scope), 2 * k, scope),
         },
-        k,
-    )
-    return fused.join(chunks.select("chunk_id", "heading", "text"), "chunk_id")
+        k, rrf_k, weights, scope,
+    )
+    return fused.join(chunks.select(*scope, "chunk_id", "heading", "text"), [*scope, "chunk_id"])
 
 
 # --- stored index --------------------------------------------------------------------

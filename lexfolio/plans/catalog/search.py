@@ -8,10 +8,11 @@ from lexfolio import lexicons as lx
 from lexfolio.functions.hashing import embed
 from lexfolio.functions.text import search_tokens
 from lexfolio.operators import layout, retrieval as r
+from lexfolio.operators.stored_index import StoredIndex
 from lexfolio.plans.catalog.corpus import CONTRACT_BLOCKS, DOC_LINES, contract_docs, doc_lines
 from lexfolio.plans.catalog.sqlparts import pattern, tokens, words
 from lexfolio.plans.registry import query
-from lexfolio.session import materialize
+from lexfolio.session import materialize, scratch_path
 
 
 def chunks_cte(blocks: str = "blocks", name: str = "chunks", typ: str = "block_type") -> str:
@@ -110,24 +111,46 @@ def _(t):
 BENCH_Q = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
 
 
-@query("r04_bm25_search", f"WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {bm25_cte(BENCH_Q, 10)} SELECT * FROM bm25")
+BM25_SQL = f"WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {bm25_cte(BENCH_Q, 10)} SELECT * FROM bm25"
+
+
+@query("r04_bm25_search", BM25_SQL)
 def _(t):
     chunks = doc_chunks(t)
     index = materialize(r.postings(chunks), "postings")
     return r.bm25_search(index, r.chunk_stats(chunks, index), passages(t), 10)
 
 
-@query("r04_bm25_per_version", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX},
-q AS (SELECT CAST(doc_id AS VARCHAR) AS version_id, CAST(doc_id // 3 AS BIGINT) AS query_id, unnest({tokens("regexp_extract(text, '^[^.]*')")}) AS term FROM documents),
+def stored_index(t, chunks) -> StoredIndex:
+    """A new index that holds some chunks."""
+    index = StoredIndex(t.spark, scratch_path(t.spark, "stored-index"))
+    index.add(chunks)
+    return index
+
+
+@query("r04_bm25_pruned", BM25_SQL)
+def _(t):
+    return stored_index(t, r.chunk_documents(doc_lines(t))).bm25(passages(t), 10)
+
+
+OWN_Q = "SELECT CAST(doc_id AS VARCHAR) AS version_id, CAST(doc_id // 3 AS BIGINT) AS query_id, regexp_extract(text, '^[^.]*') AS query FROM documents"
+OWN_BM25 = f"""q AS (SELECT version_id, query_id, unnest({tokens("query")}) AS term FROM ({OWN_Q})),
 qt AS (SELECT version_id, query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
 vstats AS (SELECT version_id, count(*) AS n_chunks, avg(len(t)) AS avg_len FROM toks GROUP BY version_id),
 df AS (SELECT version_id, term, count(*) AS df FROM postings GROUP BY ALL),
-s AS (SELECT query_id, version_id, chunk_id, sum(qtf * ln((n_chunks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))) AS score
-  FROM qt JOIN df USING (version_id, term) JOIN postings USING (version_id, term) JOIN vstats USING (version_id) GROUP BY ALL)
-SELECT query_id, version_id, chunk_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+own AS (SELECT query_id, version_id, chunk_id, sum(qtf * ln((n_chunks - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)))) AS score
+  FROM qt JOIN df USING (version_id, term) JOIN postings USING (version_id, term) JOIN vstats USING (version_id) GROUP BY ALL)"""
+
+
+def own_queries(t):
+    """The first sentence of every document, asked of that document alone."""
+    return t.documents.select(F.col("doc_id").cast("string").alias("version_id"), F.expr("doc_id div 3").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
+
+
+@query("r04_bm25_per_version", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {OWN_BM25}
+SELECT query_id, version_id, chunk_id, round(score, 4) AS score, CAST(row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM own QUALIFY rank <= 3""")
 def _(t):
-    chunks = doc_chunks(t)
-    own = t.documents.select(F.col("doc_id").cast("string").alias("version_id"), F.expr("doc_id div 3").alias("query_id"), F.regexp_extract("text", r"^[^.]*", 0).alias("query"))
+    chunks, own = doc_chunks(t), own_queries(t)
     scope = ("version_id",)
     index = materialize(r.postings(chunks, scope), "postings")
     return r.bm25_search(index, r.chunk_stats(chunks, index, scope), own, 3, scope)
@@ -217,22 +240,47 @@ def _(t):
     })
 
 
-@query("r11_hybrid_search", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {terms_cte(BENCH_Q[1:-1])}, {bm25_cte('qs', 20)}, {exact_cte(20)},
+HYBRID_SQL = f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {terms_cte(BENCH_Q[1:-1])}, {bm25_cte('qs', 20)}, {exact_cte(20)},
 {embed_cte("(SELECT chunk_id AS id, heading || ' ' || text AS text FROM chunks)", "ce")}, {embed_cte("(SELECT item_id AS id, text FROM benchmark)", "qe")},
 dense AS (SELECT qe.id AS query_id, ce.id AS chunk_id, CAST(row_number() OVER (PARTITION BY qe.id ORDER BY round(sum(qe.x * ce.x), 9) DESC, ce.id) AS INTEGER) AS rank
   FROM qe JOIN ce USING (bucket) GROUP BY qe.id, ce.id QUALIFY rank <= 20),
 fused AS (SELECT query_id, chunk_id, sum(w / (60 + rank)) AS score, max(CASE WHEN c = 'b' THEN rank END) AS bm25_rank, max(CASE WHEN c = 'd' THEN rank END) AS dense_rank, max(CASE WHEN c = 'e' THEN rank END) AS exact_rank
   FROM (SELECT query_id, chunk_id, rank, 1.0::DOUBLE AS w, 'b' AS c FROM bm25 UNION ALL SELECT query_id, chunk_id, rank, 1.0, 'd' FROM dense UNION ALL SELECT query_id, chunk_id, rank, 1.5, 'e' FROM exact) GROUP BY ALL)
 SELECT chunk_id, query_id, round(score, 6) AS rrf_score, bm25_rank, dense_rank, exact_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, heading, text
-FROM fused JOIN chunks USING (chunk_id) QUALIFY rank <= 10""")
+FROM fused JOIN chunks USING (chunk_id) QUALIFY rank <= 10"""
+
+
+@query("r11_hybrid_search", HYBRID_SQL)
 def _(t):
     return r.hybrid_search(doc_chunks(t), passages(t), 10)
 
 
-@query("r12_incremental_index", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX} SELECT version_id, CAST(count(*) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY version_id""")
+@query("r11_hybrid_stored", HYBRID_SQL)
+def _(t):
+    return stored_index(t, r.chunk_documents(doc_lines(t))).hybrid(passages(t), 10)
+
+
+# Each document answers for itself: other fusion constants than the corpus search, 2k = 6 hits a channel.
+@query("r11_hybrid_per_version", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX}, {OWN_BM25}, ownq AS ({OWN_Q}),
+{terms_cte("SELECT version_id || '/' || query_id AS query_id, query FROM ownq")},
+{embed_cte("(SELECT chunk_id AS id, heading || ' ' || text AS text FROM chunks)", "ce")}, {embed_cte("(SELECT version_id AS id, query AS text FROM ownq)", "qe")},
+bm AS (SELECT query_id, version_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM own QUALIFY rank <= 6),
+dots AS (SELECT qe.id AS version_id, ce.id AS chunk_id, sum(qe.x * ce.x) AS s FROM chunks JOIN ce ON ce.id = chunk_id JOIN qe ON qe.id = version_id AND qe.bucket = ce.bucket GROUP BY ALL),
+de AS (SELECT ownq.query_id, version_id, chunk_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY round(coalesce(s, 0), 9) DESC, chunk_id) AS INTEGER) AS rank FROM chunks JOIN ownq USING (version_id) LEFT JOIN dots USING (version_id, chunk_id) QUALIFY rank <= 6),
+exh AS (SELECT c.version_id, c.chunk_id, CASE term_type WHEN 'verbatim' THEN 3.0::DOUBLE WHEN 'clause_number' THEN 2.5::DOUBLE WHEN 'amount' THEN 2.0::DOUBLE ELSE 1.5::DOUBLE END AS pts
+  FROM terms JOIN chunks c ON c.version_id = split_part(query_id, '/', 1) AND contains(lower(c.heading || ' ' || c.text), term)),
+ex AS (SELECT query_id, version_id, chunk_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY sum(pts) DESC, chunk_id) AS INTEGER) AS rank FROM exh JOIN ownq USING (version_id) GROUP BY query_id, version_id, chunk_id QUALIFY rank <= 6),
+fused AS (SELECT query_id, version_id, chunk_id, sum(w / (30 + rank)) AS score, max(CASE WHEN c = 'b' THEN rank END) AS bm25_rank, max(CASE WHEN c = 'd' THEN rank END) AS dense_rank, max(CASE WHEN c = 'e' THEN rank END) AS exact_rank
+  FROM (SELECT query_id, version_id, chunk_id, rank, 2.0::DOUBLE AS w, 'b' AS c FROM bm UNION ALL SELECT query_id, version_id, chunk_id, rank, 1.0, 'd' FROM de UNION ALL SELECT query_id, version_id, chunk_id, rank, 0.5, 'e' FROM ex) GROUP BY ALL)
+SELECT version_id, chunk_id, query_id, round(score, 6) AS rrf_score, bm25_rank, dense_rank, exact_rank, CAST(row_number() OVER (PARTITION BY query_id, version_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank, heading, text
+FROM fused JOIN chunks USING (version_id, chunk_id) QUALIFY rank <= 3""")
 def _(t):
-    from lexfolio.session import scratch_path
+    index = stored_index(t, r.chunk_documents(doc_lines(t)))
+    return index.hybrid(own_queries(t), 3, scoped=True, rrf_k=30, weights={"bm25": 2.0, "dense": 1.0, "exact": 0.5})
+
 
+@query("r12_incremental_index", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX} SELECT version_id, CAST(count(*) AS BIGINT) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY version_id""")
+def _(t):
     chunks = doc_chunks(t)
     path = scratch_path(t.spark, "index")
     english = t.documents.filter(F.col("lang") == "en").select(F.col("doc_id").cast("string").alias("version_id"))
@@ -240,3 +288,21 @@ def _(t):
     r.write_index(chunks, path)
     return t.spark.read.parquet(path).groupBy("version_id").agg(
         F.count("*").alias("postings"), F.sum("tf").cast("bigint").alias("occurrences"))
+
+
+# English documents first, then the rest; French ones are evicted, and of these every other one comes back.
+@query("r12_index_lifecycle", f"""WITH RECURSIVE {DOC_CHUNKS}, {INDEX},
+live AS (SELECT CAST(doc_id AS VARCHAR) AS version_id FROM documents WHERE lang IS DISTINCT FROM 'fr' OR doc_id % 2 = 0),
+p AS (SELECT version_id, term, count(*) AS n, sum(tf) AS tf FROM postings GROUP BY ALL)
+SELECT term, CAST(sum(n) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, CAST(count(*) AS BIGINT) AS versions FROM p JOIN live USING (version_id) GROUP BY term""")
+def _(t):
+    chunks, ids = doc_chunks(t), F.col("doc_id").cast("string").alias("version_id")
+    english, french = (t.documents.filter(F.col("lang") == x) for x in ("en", "fr"))
+    index = stored_index(t, chunks.join(english.select(ids), "version_id", "left_semi"))
+    index.add(chunks)
+    index.evict(french.select(ids))
+    index.add(chunks.join(french.filter("doc_id % 2 = 0").select(ids), "version_id", "left_semi"))
+    of_version = index.chunks().select("version_id", "chunk_id", F.explode("terms").alias("term", "tf"))
+    posted = index.blocks().select("term", F.explode("postings").alias("p")).select("term", "p.chunk_id", "p.tf")
+    return posted.join(of_version.drop("tf"), ["term", "chunk_id"]).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("occurrences"), F.countDistinct("version_id").alias("versions"))
