@@ -59,7 +59,6 @@ class HatTrie:
         #: first words whose container has burst: their value maps the next word to a container
         self.open: set[int] = set()
         self.size = 0
-        self.sizes: dict[int, int] = defaultdict(int)
 
     def add(self, first: np.ndarray, suffix: np.ndarray, counts: np.ndarray) -> None:
         """Add distinct (first, suffix) entries, sorted by first and then suffix."""
@@ -68,28 +67,24 @@ class HatTrie:
         starts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]).tolist()
         firsts, ends = first[starts].tolist(), [*starts[1:], len(first)]
         suffixes, times = suffix.tolist(), counts.tolist()
+        root, size = self.root, self.size
         for word, lo, hi in zip(firsts, starts, ends, strict=True):
-            before = self.sizes[word]
-            if word in self.open:
-                grown = before + self._add_below(self.root[word], suffixes, times, lo, hi)
+            container = root.get(word)
+            if container is None:
+                container = root[word] = dict(zip(suffixes[lo:hi], times[lo:hi], strict=True))
+                size += hi - lo
+            elif word in self.open:
+                size += self._add_below(container, suffixes, times, lo, hi)
+                continue
             else:
-                container = self.root.setdefault(word, {})
-                self._add_flat(container, suffixes, times, lo, hi)
-                grown = len(container)
-                if grown > self.burst:
-                    self._open(word, container)
-            self.sizes[word] = grown
-            self.size += grown - before
-
-    @staticmethod
-    def _add_flat(container: dict, suffixes: list, times: list, lo: int, hi: int) -> None:
-        if not container:
-            container.update(zip(suffixes[lo:hi], times[lo:hi], strict=True))
-            return
-        get = container.get
-        for i in range(lo, hi):
-            s = suffixes[i]
-            container[s] = get(s, 0) + times[i]
+                before = len(container)
+                for i in range(lo, hi):
+                    s = suffixes[i]
+                    container[s] = container.get(s, 0) + times[i]
+                size += len(container) - before
+            if len(container) > self.burst:
+                self._open(word, container)
+        self.size = size
 
     def _add_below(self, node: dict, suffixes: list, times: list, lo: int, hi: int) -> int:
         new = 0
@@ -117,13 +112,15 @@ class HatTrie:
 
     def take(self, most_left: int) -> Iterator[tuple[int, list[dict]]]:
         """Remove whole subtrees, largest first, until at most ``most_left`` entries stay."""
-        for word in sorted(self.sizes, key=self.sizes.__getitem__, reverse=True):
+        sizes = {word: sum(map(len, c.values())) if word in self.open else len(c) for word, c in self.root.items()}
+        for word in sorted(sizes, key=sizes.__getitem__, reverse=True) if most_left else sizes:
             if self.size <= most_left:
                 return
-            yield word, self.containers(word)
-            self.size -= self.sizes.pop(word)
+            containers = self.containers(word)
+            self.size -= sizes[word]
             del self.root[word]
             self.open.discard(word)
+            yield word, containers
 
 
 def words_with_breaks(text: str) -> list[bytes]:
