@@ -10,13 +10,17 @@ grows until its ids agree with those of the chunk on both sides; a chunk without
 agreement is encoded with its surroundings.
 
 Texts travel once, compressed, to meet the ids of their chunks; equal texts travel once a
-task and are encoded once. Everything else that is shuffled is chunk keys and reused ids.
+task and are encoded once. Texts that own chunks travel once more to their encoding; a Bloom
+filter of bounded size keeps the others back, and what it lets through by chance is dropped by
+the join. Everything else that is shuffled is chunk keys and reused ids.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexfolio.llm.common import batches_of
+from lexfolio.llm.common import batches_of, collect_bits, filter_bits, has_bits
 from lexfolio.llm.packing import ByteBpe, public_byte_bpe
 from lexfolio.session import materialize
 
@@ -34,7 +38,9 @@ CHUNK_BITS, CHUNK_LEAST, CHUNK_MOST = 10, 256, 8_192
 #: Text keys that a task remembers to send equal texts once.
 REMEMBERED = 200_000
 #: Bytes of text handled at once in a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Words whose ids a task keeps.
+CACHED_WORDS = 100_000
 
 #: A letter or digit followed by a character that is neither: the tokenizer's split always
 #: ends a unit here. Both sides are classes that no version of Unicode has changed.
@@ -85,24 +91,53 @@ def sections(data: bytes, special: bytes, start: int = 0, stop: int | None = Non
     yield start, stop
 
 
-class ChunkEncoder:
+class WordBpe(ByteBpe):
+    """The encoder of words; the library's own tokenizer is loaded when a text with unusual white space needs it."""
+
+    def __init__(self, ranks: str, pattern: str, full: str):
+        import tiktoken
+
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        self.cache_words = CACHED_WORDS
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+        self._file = full
+
+    @cached_property
+    def full(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self._file)
+        whole.encode_special_tokens = True
+        return whole
+
+
+class Pieces:
+    """The bytes of every id of a vocabulary given as ranks, special token included."""
+
+    def __init__(self, ranks: str, special: tuple[str, int]):
+        self.special, self.special_id = special[0].encode(), np.array([special[1]], "<u4").tobytes()
+        with open(ranks, "rb") as lines:
+            pieces = {int(rank): base64.b64decode(piece) for piece, rank in map(bytes.split, lines)}
+        self.pieces = [pieces.get(i, b"") for i in range(max(max(pieces), special[1]) + 1)]
+        self.pieces[special[1]] = self.special
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+
+
+class ChunkEncoder(Pieces):
     """Encodes texts with the ids of some of their chunks given.
 
     ``special`` is the (text, id) of the token that the library recognises inside texts.
     """
 
     def __init__(self, vocabulary: tuple[str, str, str], special: tuple[str, int] = ("<|endoftext|>", 50256)):
-        self.bpe = ByteBpe(*vocabulary)
-        self.special, self.special_id = special[0].encode(), np.array([special[1]], "<u4").tobytes()
-        size = max(self.bpe.encoding.max_token_value, special[1]) + 1
-        self.pieces = [b""] * size
-        for i in range(self.bpe.encoding.max_token_value + 1):
-            try:
-                self.pieces[i] = self.bpe.encoding.decode_single_token_bytes(i)
-            except KeyError:
-                pass  # a number without a piece
-        self.pieces[special[1]] = self.special
-        self.lengths = np.fromiter(map(len, self.pieces), np.int64, size)
+        super().__init__(vocabulary[0], special)
+        self.bpe = WordBpe(*vocabulary)
+        self.lengths = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
         #: windows around joins that were encoded, and how many grew
         self.windows = self.grown = 0
 
@@ -110,9 +145,6 @@ class ChunkEncoder:
         """Ids (little-endian unsigned 32-bit) of a stretch without special tokens."""
         return self.bpe.encode(data.decode("utf-8")) if data else b""
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
     def _reuse(self, data: bytes, at: int, begin: int, end: int, start: int, stop: int, ids: np.ndarray) -> tuple[list[bytes], int] | None:
         """Ids from ``at`` to a place inside the chunk start..stop of the section begin..end, and that place.
 
@@ -225,27 +257,53 @@ def chunk_places(keyed: DataFrame, special: str = "<|endoftext|>") -> DataFrame:
     return keyed.mapInArrow(run, "chunk_key binary, text_key binary, start int, stop int").distinct()
 
 
-def _packed(keyed: DataFrame) -> DataFrame:
-    """(text_key, packed): distinct texts, compressed, dealt out by key."""
+def _key_bits(keys: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two filter places of each text key; the keys are hashes already."""
+    words = np.frombuffer(b"".join(k[:16] for k in keys), "<u8").reshape(-1, 2) & np.uint64(bits - 1)
+    return words[:, 0], words[:, 1]
+
+
+def _packed(keyed: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(text_key, packed): distinct texts, compressed, dealt out by key.
+
+    With ``only(text_key)`` those alone, and what its filter takes for them.
+    """
+    bits, shared = 0, None
+    if only is not None:
+        bits = filter_bits(only.count())
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                both = np.concatenate(_key_bits(batch.column(0).to_pylist(), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(both.astype(np.int64))], ["bit"])
+
+        table = collect_bits(only.select("text_key").mapInArrow(place, "bit long"), bits)
+        shared = keyed.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in _distinct_slices(batches):
+            if shared is not None:
+                one, two = _key_bits(batch.column("text_key").to_pylist(), bits)
+                batch = batch.filter(pa.array(has_bits(shared.value, one) & has_bits(shared.value, two)))
             packed = [press.compress(t.as_buffer().to_pybytes()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(packed, pa.binary())], ["text_key", "packed"])
 
     return keyed.mapInArrow(run, "text_key binary, packed binary").repartition("text_key").dropDuplicates(["text_key"])
 
 
-def encode_texts(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, special: tuple[str, int] = ("<|endoftext|>", 50256)) -> DataFrame:
-    """(text_key, ids array<int>), one row for each distinct text of ``docs(text)``."""
+def encode_texts(
+    docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, special: tuple[str, int] = ("<|endoftext|>", 50256), decoded: bool = False
+) -> DataFrame:
+    """(text_key, ids array<int>), one row for each distinct text of ``docs(text)``; with ``decoded`` also the text that the ids give."""
     vocabulary = vocabulary or public_byte_bpe()
     kind = _id_kind(special[1] + 1)
     keyed = keyed_texts(docs)
     places = materialize(chunk_places(keyed, special[0]), "bpe-chunks")
     repeated = places.groupBy("chunk_key").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "start", "stop")).alias("o")).filter("n > 1")
-    owned = repeated.groupBy(F.col("o.text_key").alias("text_key")).agg(F.collect_list(F.struct("chunk_key", "o.start", "o.stop")).alias("own"))
-    texts = _packed(keyed)
+    owned = materialize(
+        repeated.groupBy(F.col("o.text_key").alias("text_key")).agg(F.collect_list(F.struct("chunk_key", "o.start", "o.stop")).alias("own")), "bpe-owned"
+    )
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, unpack = ChunkEncoder(vocabulary, special), zstandard.ZstdDecompressor()
@@ -256,7 +314,7 @@ def encode_texts(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None
                 ids = [np.frombuffer(encoder.encode(data[c["start"] : c["stop"]]), "<u4").astype(kind).tobytes() for c in own]
                 yield pa.RecordBatch.from_arrays([pa.array([c["chunk_key"] for c in own], pa.binary()), pa.array(ids, pa.binary())], ["chunk_key", "ids"])
 
-    encoded = texts.join(owned, "text_key").mapInArrow(encode_owned, "chunk_key binary, ids binary")
+    encoded = _packed(keyed, owned).join(owned, "text_key").mapInArrow(encode_owned, "chunk_key binary, ids binary")
     known = places.join(encoded, "chunk_key").groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "ids"))).alias("known"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +327,13 @@ def encode_texts(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None
                     found.append(encoder.assemble(unpack.decompress(packed.as_py()), chunks, kind))
                 offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
                 flat = pa.array(np.concatenate(found).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["text_key", "ids"])
+                columns, names = [batch.column("text_key"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["text_key", "ids"]
+                if decoded:
+                    columns, names = [*columns, pa.array([encoder.decode(x) for x in found], pa.string())], [*names, "text"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.join(known, "text_key", "left").mapInArrow(assemble, "text_key binary, ids array<int>")
+    schema = "text_key binary, ids array<int>" + ", text string" * decoded
+    return _packed(keyed).join(known, "text_key", "left").mapInArrow(assemble, schema)
 
 
 def decode_texts(encoded: DataFrame, vocabulary: tuple[str, str, str] | None = None, special: tuple[str, int] = ("<|endoftext|>", 50256)) -> DataFrame:
@@ -279,10 +341,10 @@ def decode_texts(encoded: DataFrame, vocabulary: tuple[str, str, str] | None = N
     vocabulary = vocabulary or public_byte_bpe()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary, special)
+        pieces = Pieces(vocabulary[0], special)
         for batch in batches:
             ids = batch.column("ids")
-            texts = [encoder.decode(x.values.to_numpy()) for x in ids]
+            texts = [pieces.decode(x.values.to_numpy()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("text_key"), ids, pa.array(texts, pa.string())], ["text_key", "ids", "text"])
 
     return encoded.select("text_key", "ids").mapInArrow(run, "text_key binary, ids array<int>, text string")
@@ -300,7 +362,7 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None) -> D
 
 def digests(docs: DataFrame, vocabulary: tuple[str, str, str] | None = None, special: tuple[str, int] = ("<|endoftext|>", 50256)) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: hashes of the decimal ids and of the decoded text."""
-    decoded = decode_texts(encode_texts(docs, vocabulary, special), vocabulary, special)
+    decoded = encode_texts(docs, vocabulary, special, decoded=True)
     written = F.concat_ws(",", F.col("ids").cast("array<string>"))
     by_text = decoded.select(
         "text_key", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
