@@ -3,7 +3,7 @@
 Method: incremental retraction streaming. The files of the table are processed as
 available-now micro-batches. Four filters look at one text alone and make a mask; the
 fifth removes a text that a smaller id holds as well, which only the whole table can tell.
-Keyed state holds for each text the smallest id so far with its marks. A smaller id takes
+State keyed by text (a few texts share a slot, which saves calls) holds for each text the smallest id so far with its marks. A smaller id takes
 its place, and the marks of the earlier one are retracted: they leave their counter and
 enter the one with the fifth filter's bit. Counters are rows per part, mask and label, so
 all 120 orders follow from a table whose size does not depend on the documents.
@@ -15,31 +15,38 @@ key gets at most a row for each task, part and label, whatever share of the tabl
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, permutations
 from math import factorial
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from lexfolio.session import scratch_path
 
 LETTERS = "ABCDE"
+#: Texts that share one state, on average.
+TEXTS_IN_SLOT = 8
+BY = ("text_key", "part", "mask", "good", "toxic")
 BITS = {letter: 1 << i for i, letter in enumerate(LETTERS)}
-SPACE = r"[\x20\x09-\x0D]+"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STORE_KEY = "spark.sql.streaming.stateStore.providerClass"
+#: State lives on disk and memory holds a cache of it; a batch stores its changes, not the whole state.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 MARKS = "part string, mask int, good boolean, toxic boolean, n long"
+CHANGE = Row("part", "mask", "good", "toxic", "n")
 
 
 def failed(text: Column) -> Column:
     """Bits of the filters A to D that a text fails."""
-    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+    # single blanks split without a regular expression; what lies between two of them is no word
+    words = F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]+", " "), " "), "")
     n, distinct = F.size(words).cast("long"), F.size(F.array_distinct(words)).cast("long")
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
     tests = {
         "A": n < 50,
         "B": distinct * 100 < n * 65,
@@ -68,88 +75,106 @@ def label_flags(labels: DataFrame) -> DataFrame:
     )
 
 
-def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal texts of one Arrow batch with equal part and labels: the smallest id, rows that have it, all rows."""
-    by = ["text_key", "part", "mask", "good", "toxic"]
-    for frame in frames:
-        nameless = frame["doc_id"].isna()
-        for some, numbered in ((frame[~nameless], True), (frame[nameless], False)):
-            if not len(some):
-                continue
-            some = some.assign(n=1)
-            if not numbered:
-                yield some.groupby(by, as_index=False)["n"].sum().assign(least=None, n_least=0)
-                continue
-            some["doc_id"] = some["doc_id"].astype("int64")
-            least = some.groupby(by)["doc_id"].transform("min")
-            some["n_least"] = (some["doc_id"] == least).astype("int64")
-            yield some.groupby(by, as_index=False).agg(least=("doc_id", "min"), n_least=("n_least", "sum"), n=("n", "sum"))
+    for batch in batches:
+        found: dict[tuple, list] = {}
+        ids, *rest = (batch.column(c).to_pylist() for c in ("doc_id", *BY))
+        for doc_id, *key in zip(ids, *rest, strict=True):
+            entry = found.setdefault((*key, doc_id is None), [doc_id, 0, 0])
+            entry[2] += 1
+            if doc_id is not None:
+                if doc_id < entry[0]:
+                    entry[0], entry[1] = doc_id, 0
+                entry[1] += doc_id == entry[0]
+        rows = [(*key[:-1], *entry) for key, entry in found.items()]
+        columns = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*BY, "least", "n_least", "n"])
 
 
 COMBINED = "text_key binary, part string, mask int, good boolean, toxic boolean, least long, n_least long, n long"
 
 
-def update_text(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Changes of the counters that the new rows of one text bring, retractions included.
+class SmallestIds(StatefulProcessor):
+    """Keyed state of the few texts whose keys fall into one slot: of each its smallest id so far and,
+    by part and labels, how many rows hold it.
 
-    State: the smallest id so far and how many rows hold it, by part and labels.
+    New rows give changes of the counters, retractions included.
     """
-    least, held = None, []
-    if state.exists:
-        least, packed = state.get
-        held = json.loads(packed)
-    before = (least, json.dumps(held))
-    changes: list[tuple] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("smallest", "texts string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known = self.state.get()
+        texts = json.loads(known[0]) if known is not None else {}
+        by_text: dict[str, list[Row]] = {}
+        for row in rows:
+            by_text.setdefault(row["text_key"].hex(), []).append(row)
+        changes: list[tuple] = []
+        changed = False
+        for text, new in by_text.items():
+            before = texts.get(text, [None, []])
+            least, held, found = advance(*before, new)
+            changes += found
+            if [least, held] != before:
+                texts[text], changed = [least, held], True
+        if changed:
+            self.state.update((json.dumps(texts, separators=(",", ":")),))
+        return iter([CHANGE(*c) for c in changes])
+
+
+def advance(least: int | None, held: list, rows: Iterable[Row]) -> tuple[int | None, list, list[tuple]]:
+    """The state of a text after some combined rows, and the (part, mask, good, toxic, n) changes they bring."""
     late = BITS["E"]
-    for frame in frames:
-        for part, mask, good, toxic, low, n_low, n in frame[["part", "mask", "good", "toxic", "least", "n_least", "n"]].itertuples(index=False):
-            mask, good, toxic, n_low, n = int(mask), bool(good), bool(toxic), int(n_low), int(n)
-            if pd.isna(low):  # a row without an id is nobody's copy and has none
-                changes.append((part, mask, good, toxic, n))
-                continue
-            low = int(low)
-            if n > n_low:
-                changes.append((part, mask | late, good, toxic, n - n_low))
-            if least is None or low < least:
-                for p, m, g, t, k in held:
-                    changes += [(p, m, g, t, -k), (p, m | late, g, t, k)]
-                least, held = low, []
-            if low == least:
-                changes.append((part, mask, good, toxic, n_low))
-                held.append([part, mask, good, toxic, n_low])
-            else:
-                changes.append((part, mask | late, good, toxic, n_low))
-    if least is not None and (least, json.dumps(held)) != before:
-        state.update((least, json.dumps(held)))
-    if changes:
-        yield pd.DataFrame(changes, columns=["part", "mask", "good", "toxic", "n"])
-
-
-def counter_changes(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    changes: list[tuple] = []
+    for row in rows:
+        part, mask, good, toxic, low, n_low, n = row["part"], row["mask"], row["good"], row["toxic"], row["least"], row["n_least"], row["n"]
+        if low is None:  # a row without an id is nobody's copy and has none
+            changes.append((part, mask, good, toxic, n))
+            continue
+        if n > n_low:
+            changes.append((part, mask | late, good, toxic, n - n_low))
+        if least is None or low < least:
+            for p, m, g, t, k in held:
+                changes += [(p, m, g, t, -k), (p, m | late, g, t, k)]
+            least, held = low, []
+        if low == least:
+            changes.append((part, mask, good, toxic, n_low))
+            held = [*held, [part, mask, good, toxic, n_low]]
+        else:
+            changes.append((part, mask | late, good, toxic, n_low))
+    return least, held, changes
+
+
+def counter_changes(docs: DataFrame, labels: DataFrame, slots: int) -> DataFrame:
     """Stream of (part, mask, good, toxic, n): what a stream of documents adds to the counters and takes back."""
     rows = marked(docs).join(label_flags(labels), "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
-    combined = rows.mapInPandas(combine, COMBINED)
-    return combined.groupBy("text_key").applyInPandasWithState(
-        update_text, MARKS, "least long, held string", "append", GroupStateTimeout.NoTimeout
-    )
+    combined = rows.mapInArrow(combine, COMBINED)
+    slotted = combined.withColumn("slot", F.pmod(F.xxhash64("text_key"), F.lit(slots)))
+    return slotted.groupBy("slot").transformWithState(SmallestIds(), MARKS, "Append", "None")
 
 
-def run_stream(docs: DataFrame, labels: DataFrame, out: str, checkpoint: str) -> None:
+def run_stream(docs: DataFrame, labels: DataFrame, out: str, checkpoint: str, slots: int) -> None:
     """Process all that a document stream has now. Each micro-batch writes its own folder below ``out``,
-    and writes it again when it is replayed; with the same ``checkpoint`` a later run takes up new files only."""
+    and writes it again when it is replayed; with the same ``checkpoint`` and ``slots`` a later run takes up
+    new files only. ``slots`` is about an eighth of the texts to come: a slot's state is read and written whole."""
 
     def store(changes: DataFrame, batch: int) -> None:
         summed = changes.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
         summed.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     spark = docs.sparkSession
-    earlier = spark.conf.get(STORE_KEY, None)
-    spark.conf.set(STORE_KEY, STORE)  # state lives on disk, memory holds a cache of it
+    earlier = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
-        writer = counter_changes(docs, labels).writeStream.outputMode("append").foreachBatch(store)
+        writer = counter_changes(docs, labels, slots).writeStream.outputMode("append").foreachBatch(store)
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(STORE_KEY) if earlier is None else spark.conf.set(STORE_KEY, earlier)
+        for k, v in earlier.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def counters(spark: SparkSession, out: str) -> DataFrame:
@@ -212,9 +237,11 @@ def audit_files(spark: SparkSession, path: str, labels: DataFrame, batch_bytes:
     """
     most = batch_bytes or (32 << 20) * spark.sparkContext.defaultParallelism
     anything = f"{path[:-1]}[{path[-1]}]"  # a file source takes a table of one file by a glob only
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(most)).parquet(anything)
+    table = spark.read.parquet(path)
+    slots = max(1, table.count() // TEXTS_IN_SLOT)
+    stream = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", str(most)).parquet(anything)
     folder = scratch_path(spark, "filter-audit")
-    run_stream(stream, labels, f"{folder}/changes", f"{folder}/checkpoint")
+    run_stream(stream, labels, f"{folder}/changes", f"{folder}/checkpoint", slots)
     return audit(counters(spark, f"{folder}/changes"))
 
 

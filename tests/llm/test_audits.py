@@ -138,7 +138,7 @@ def test_audit_goes_on_from_its_checkpoint(spark, tmp_path):
     for k, part in enumerate((frame.iloc[:6], frame.iloc[6:])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/t", mode="append")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/t")
-        filter_audit.run_stream(stream, labels, f"{tmp_path}/out", f"{tmp_path}/state")
+        filter_audit.run_stream(stream, labels, f"{tmp_path}/out", f"{tmp_path}/state", slots=3)
     got = filter_audit.audit(filter_audit.counters(spark, f"{tmp_path}/out"))
     assert sorted(tuple(r) for r in got.collect()) == by_sql(frame, LABELS)
 
