@@ -1,12 +1,14 @@
-"""Clause alignment and change analysis of two revisions held in one row."""
+"""Clause alignment and change analysis of two revisions: clauses are rows, matches come from equi-joins."""
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,63 +18,87 @@ from lexfolio.functions.arrays import first_where, let, unnest
 from lexfolio.functions.quantities import quantities
 from lexfolio.functions.text import dice_of_sets, squeeze_ends, word_set
 from lexfolio.operators.contract import clauses_of
+from lexfolio.session import materialize
 
-_PAIR = "struct<t:int,b:int,by_number:boolean>"
-_STATE = f"struct<used:array<int>,out:array<{_PAIR}>>"
-
-
-def _keys(clauses: Column) -> Column:
-    """What alignment compares: number, heading and the two word sets."""
-    return F.transform(
-        clauses,
-        lambda c: F.struct(
-            c["clause_index"].alias("i"),
-            c["clause_number"].alias("number"),
-            F.lower(c["heading"]).alias("heading"),
-            word_set(c["heading"]).alias("heading_words"),
-            word_set(c["full_text"]).alias("words"),
-        ),
-    )
+def clause_rows(pairs: DataFrame) -> DataFrame:
+    """(pair_id, side, i, number, heading, full_text, words, heading_words): the clauses of both sides, one row each."""
 
+    def side(name: str) -> Column:
+        return F.struct(F.lit(name).alias("side"), clauses_of(F.col(f"{name}_blocks")).alias("clauses"))
 
-def align_clauses(base: Column, target: Column) -> Column:
-    """array<struct<t,b,by_number>>: greedy one-to-one matches of two clause arrays.
+    sides = unnest(pairs, F.array(side("base"), side("target")), "pair_id", name="_s").select("pair_id", F.col("_s.side").alias("side"), F.col("_s.clauses").alias("_c"))
+    rows = unnest(sides, F.col("_c"), "pair_id", "side", name="c")
+    return rows.select(
+        "pair_id", "side", F.col("c.clause_index").alias("i"), F.col("c.clause_number").alias("number"), F.col("c.heading").alias("heading"),
+        F.col("c.full_text").alias("full_text"), word_set(F.col("c.full_text")).alias("words"), word_set(F.col("c.heading")).alias("heading_words"),
+    )
 
-    Targets pick in order: first a free base clause with the same number and a like
-    heading, then, for those left, the free one with the most similar text.
-    """
 
-    def free(bs: Column, used: Column) -> Column:
-        return F.filter(bs, lambda b: ~F.array_contains(used, b["i"]))
-
-    def take(acc: Column, t: Column, b: Column, by_number: bool) -> Column:
-        pair = F.struct(t["i"].alias("t"), b.alias("b"), F.lit(by_number).alias("by_number")).cast(_PAIR)
-        return F.when(
-            b.isNotNull(),
-            F.struct(F.concat(acc["used"], F.array(b)).alias("used"), F.concat(acc["out"], F.array(pair)).alias("out")).cast(_STATE),
-        ).otherwise(acc)
-
-    def by_number(bs: Column, acc: Column, t: Column) -> Column:
-        fits = F.filter(
-            free(bs, acc["used"]),
-            lambda b: (b["number"] == t["number"]) & (t["number"] != "")
-            & ((b["heading"] == t["heading"]) | (dice_of_sets(b["heading_words"], t["heading_words"]) > lx.HEADING_SIMILARITY)),
-        )
-        return let(F.get(fits, F.lit(0))["i"], lambda b: take(acc, t, b, True))
+def _one_side(clauses: DataFrame, name: str) -> DataFrame:
+    """Clauses of a side, columns prefixed by its first letter; the index is the letter alone."""
+    own = clauses.filter(F.col("side") == name).drop("side")
+    return own.select("pair_id", *[F.col(c).alias(name[0] if c == "i" else f"{name[0]}_{c}") for c in own.columns if c != "pair_id"])
 
-    def by_text(bs: Column, acc: Column, t: Column) -> Column:
-        scores = F.transform(
-            free(bs, acc["used"]), lambda b: F.struct(dice_of_sets(b["words"], t["words"]).alias("score"), (-b["i"]).alias("neg"))
-        )
-        best = let(F.array_max(scores), lambda m: F.when(m["score"] >= lx.TEXT_SIMILARITY, -m["neg"]))
-        return F.when(F.exists(acc["out"], lambda o: o["t"] == t["i"]), acc).otherwise(let(best, lambda b: take(acc, t, b, False)))
 
-    def run(k: Column) -> Column:
-        none = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast(f"array<{_PAIR}>").alias("out")).cast(_STATE)
-        first = F.aggregate(k["t"], none, lambda acc, t: by_number(k["b"], acc, t))
-        return F.aggregate(k["t"], first, lambda acc, t: by_text(k["b"], acc, t), lambda acc: acc["out"])
+def _leading_words(words: Column, least: float) -> Column:
+    """The words one of which two sets of at least that Dice similarity share, in a fixed order with long words first.
+
+    2o / (n + m) >= s and o <= m give o >= s n / (2 - s), so at most n - o words can be missed in a row.
+    """
+    ordered = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
+    n = F.size(words)
+    shared = F.ceil(n * (least / (2 - least)) - 1e-9).cast("int")
+    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(ordered, F.lit(1), n - shared + 1))
+
 
-    return let(F.struct(_keys(base).alias("b"), _keys(target).alias("t")), run)
+def candidate_matches(clauses: DataFrame) -> DataFrame:
+    """(pair_id, t, b, numbered, score): clause pairs with one number and like headings, or with like texts.
+
+    Both come from equi-joins, on the number and on words that like texts must share.
+    """
+    base, target = _one_side(clauses, "base"), _one_side(clauses, "target")
+    like = (F.lower("b_heading") == F.lower("t_heading")) | (dice_of_sets(F.col("b_heading_words"), F.col("t_heading_words")) > lx.HEADING_SIMILARITY)
+    heads = [x.select("pair_id", n, F.col(f"{n}_number").alias("_number"), f"{n}_heading", f"{n}_heading_words").filter("_number <> ''") for x, n in ((base, "b"), (target, "t"))]
+    numbered = heads[0].join(heads[1], ["pair_id", "_number"]).filter(like).select("pair_id", "t", "b", F.lit(True).alias("numbered"), F.lit(0.0).alias("score"))
+
+    leads = [x.select("pair_id", n, F.explode(_leading_words(F.col(f"{n}_words"), lx.TEXT_SIMILARITY)).alias("_w")) for x, n in ((base, "b"), (target, "t"))]
+    near = leads[0].join(leads[1], ["pair_id", "_w"]).select("pair_id", "t", "b").distinct()
+    score = dice_of_sets(F.col("b_words"), F.col("t_words"))
+    scored = (
+        near.join(base.select("pair_id", "b", "b_words"), ["pair_id", "b"]).join(target.select("pair_id", "t", "t_words"), ["pair_id", "t"])
+        .select("pair_id", "t", "b", F.lit(False).alias("numbered"), score.alias("score"))
+        .filter(F.col("score") >= lx.TEXT_SIMILARITY)
+    )
+    return numbered.unionByName(scored)
+
+
+def choose_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy one-to-one matches from candidates in the order in which they are to be taken, pair after pair."""
+    at, taken, done = None, set(), set()
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "t", "b", "numbered")), strict=True):
+            pair_id, t, b, _ = row
+            if pair_id != at:
+                at, taken, done = pair_id, set(), set()
+            if t not in done and b not in taken:
+                done.add(t)
+                taken.add(b)
+                out.append(row)
+        kinds = [batch.schema.field("pair_id").type, pa.int32(), pa.int32(), pa.bool_()]
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["pair_id", "t", "b", "by_number"])
+
+
+def align_clauses(clauses: DataFrame) -> DataFrame:
+    """(pair_id, t, b, by_number): matches of the two sides of each pair of revisions.
+
+    Targets pick in order: first the first free base clause with the same number and a like
+    heading, then, for those left, the free one with the most similar text.
+    """
+    kind = clauses.schema["pair_id"].dataType.simpleString()
+    ordered = candidate_matches(clauses).repartition("pair_id").sortWithinPartitions("pair_id", F.desc("numbered"), "t", F.desc("score"), "b")
+    return ordered.mapInArrow(choose_matches, f"pair_id {kind}, t int, b int, by_number boolean")
 
 
 def numeric_changes(base: Column, target: Column) -> Column:
@@ -114,31 +140,21 @@ def compare_revisions(pairs: DataFrame) -> DataFrame:
 
     ``pairs(pair_id, base_blocks, target_blocks)`` holds placed blocks of both sides.
     """
-    cut = pairs.select("pair_id", clauses_of(F.col("base_blocks")).alias("base"), clauses_of(F.col("target_blocks")).alias("target"))
-    matched = cut.withColumn("matches", align_clauses(F.col("base"), F.col("target")))
-
-    def rows(m: Column) -> Column:
-        gone = F.struct(F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("boolean").alias("by_number"))
-        added = F.transform(
-            F.filter("target", lambda c: ~F.exists(m, lambda p: p["t"] == c["clause_index"])), lambda c: gone.withField("t", c["clause_index"])
-        )
-        deleted = F.transform(
-            F.filter("base", lambda c: ~F.exists(m, lambda p: p["b"] == c["clause_index"])), lambda c: gone.withField("b", c["clause_index"])
-        )
-        return F.concat(m, added, deleted)
-
-    flat = unnest(matched.withColumn("_rows", let(F.col("matches"), rows)), F.col("_rows"), "pair_id", "base", "target", name="_m")
-    sides = flat.select("pair_id", "_m.t", "_m.b", "_m.by_number", F.get("base", F.col("_m.b")).alias("bc"), F.get("target", F.col("_m.t")).alias("tc"))
-    both = F.col("bc").isNotNull() & F.col("tc").isNotNull()
-    exact = squeeze_ends(F.col("bc.full_text")) == squeeze_ends(F.col("tc.full_text"))
-    scored = sides.withColumn("exact", exact).withColumn(
+    clauses = materialize(clause_rows(pairs), "clauses")
+    matches = align_clauses(clauses)
+    texts = ("number", "heading", "full_text", "words")
+    base, target = (_one_side(clauses, n).select("pair_id", n[0], *[f"{n[0]}_{c}" for c in texts]) for n in ("base", "target"))
+    # unmatched clauses of either side stay: added and deleted ones
+    sides = base.join(matches, ["pair_id", "b"], "left").join(target, ["pair_id", "t"], "full")
+    both = F.col("b").isNotNull() & F.col("t").isNotNull()
+    scored = sides.withColumn("exact", squeeze_ends(F.col("b_full_text")) == squeeze_ends(F.col("t_full_text"))).withColumn(
         "similarity",
-        F.when(~both, F.lit(0.0)).when(F.col("exact"), F.lit(1.0)).otherwise(dice_of_sets(word_set(F.col("bc.full_text")), word_set(F.col("tc.full_text")))),
+        F.when(~both, F.lit(0.0)).when(F.col("exact"), F.lit(1.0)).otherwise(dice_of_sets(F.col("b_words"), F.col("t_words"))),
     )
-    renumbered = F.col("bc.clause_number") != F.col("tc.clause_number")
+    renumbered = F.col("b_number") != F.col("t_number")
     label = (
-        F.when(F.col("bc").isNull(), "added")
-        .when(F.col("tc").isNull(), "deleted")
+        F.when(F.col("b").isNull(), "added")
+        .when(F.col("t").isNull(), "deleted")
         .when(~F.col("by_number") & renumbered & (F.col("similarity") > lx.MOVED_BY_TEXT), "moved")
         .when(F.col("exact"), "identical")
         .when(renumbered & (F.col("similarity") > lx.MOVED_BY_LABEL), "moved")
@@ -147,16 +163,16 @@ def compare_revisions(pairs: DataFrame) -> DataFrame:
     none = "array<struct<field:string,old_value:double,new_value:double,unit:string,description:string>>"
     numeric = F.when(
         both & ~F.col("exact"),
-        numeric_changes(quantities(F.col("bc.full_text"), F.lit(0)), quantities(F.col("tc.full_text"), F.lit(0))),
+        numeric_changes(quantities(F.col("b_full_text"), F.lit(0)), quantities(F.col("t_full_text"), F.lit(0))),
     ).otherwise(F.array().cast(none))
     duty = (
-        F.when(F.col("bc").isNull(), "added").when(F.col("tc").isNull(), "removed")
-        .when(~F.col("exact"), obligation_change(F.col("bc.full_text"), F.col("tc.full_text")))
+        F.when(F.col("b").isNull(), "added").when(F.col("t").isNull(), "removed")
+        .when(~F.col("exact"), obligation_change(F.col("b_full_text"), F.col("t_full_text")))
     )
     return scored.select(
         "pair_id", F.col("b").alias("base_index"), F.col("t").alias("target_index"), label.alias("alignment"), "similarity",
-        F.col("bc.heading").alias("base_heading"), F.col("tc.heading").alias("target_heading"),
-        F.col("bc.full_text").alias("base_text"), F.col("tc.full_text").alias("target_text"),
+        F.col("b_heading").alias("base_heading"), F.col("t_heading").alias("target_heading"),
+        F.col("b_full_text").alias("base_text"), F.col("t_full_text").alias("target_text"),
         numeric.alias("numeric_changes"), duty.alias("obligation_change"),
     )
 
