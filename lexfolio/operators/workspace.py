@@ -159,10 +159,15 @@ def first_of_each(rows: DataFrame, keys: tuple[str, ...], order: str) -> DataFra
     return rows.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_f")).select(*keys, "_f.*")
 
 
+def fresh_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Results that carry their task's current token; ``results`` may be a stream."""
+    current = tasks.select("task_id", F.col("fencing_token").alias("_token"))
+    return results.join(current, "task_id").filter(F.col("fencing_token") == F.col("_token")).drop("_token")
+
+
 def current_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
     """Published results that carry their task's current token; a repeated publication counts once."""
-    fresh = results.join(tasks.select("task_id", F.col("fencing_token").alias("_token")), "task_id").filter(F.col("fencing_token") == F.col("_token"))
-    return first_of_each(fresh.drop("_token"), ("task_id",), "published_at")
+    return first_of_each(fresh_results(results, tasks), ("task_id",), "published_at")
 
 
 def explode_results(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

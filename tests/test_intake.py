@@ -1,5 +1,7 @@
 """Files, layout and streams on small inputs."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from lexfolio.operators import layout, spans
@@ -48,11 +50,32 @@ def test_replayed_batch_overwrites_itself(spark, tmp_path):
     assert sorted(r["x"] for r in out.collect()) == [0, 2, 4, 6, 8]
 
 
-def test_stream_resumes_and_publishes_each_key_once(spark, tmp_path):
+def test_each_task_is_published_once_over_batches_and_restarts(spark, tmp_path):
+    src, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "task_id string, fencing_token int, published_at timestamp, run_id string"
+    tasks = spark.createDataFrame([(f"t{i}", 1) for i in range(6)], "task_id string, fencing_token int")
+
+    def rows(ids, hour, token=1):
+        return [(f"t{i}", token, datetime.datetime(2024, 1, 1, hour, i), f"r{hour}") for i in ids]
+
+    files_ = [rows(range(3), 1) + rows([0], 0), rows(range(2, 5), 2), rows(range(2, 5), 2), rows(range(6), 3) + rows([5], 2, token=2) + [(None, 1, None, "none")], []]
+    for arrived in files_:  # each file repeats tasks of earlier ones; the job is stopped and started again on one folder
+        spark.createDataFrame(arrived, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        out = jobs.publish_stream(stream, tasks, folder=folder)
+    got = sorted((r["task_id"], r["run_id"]) for r in out.collect())
+    assert got == [("t0", "r0"), ("t1", "r1"), ("t2", "r1"), ("t3", "r2"), ("t4", "r2"), ("t5", "r3")]
+
+
+def test_a_forgotten_task_counts_as_new(spark, tmp_path):
     src, folder = str(tmp_path / "in"), str(tmp_path / "out")
-    plan = lambda b: b.select("id")
-    for rows in (range(0, 3), range(2, 5), range(0, 6)):  # each file repeats ids of earlier ones
-        spark.createDataFrame([(i,) for i in rows], "id long").coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
-        out = jobs.run_batches(stream, plan, "test", folder, once=("id",))  # stopped and started again on one folder
-    assert sorted(r["id"] for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+    tasks = spark.createDataFrame([("t", 1)], "task_id string, fencing_token int")
+    row = spark.createDataFrame([("t", 1, datetime.datetime(2024, 1, 1), "r")], "task_id string, fencing_token int, published_at timestamp, run_id string")
+    for keep_days, want in ((None, 1), (None, 1)):
+        row.write.mode("append").parquet(src)
+        out = jobs.publish_stream(spark.readStream.schema(row.schema).parquet(src), tasks, folder=folder, keep_days=keep_days)
+        assert out.count() == want
+    for want in (1, 2):  # kept for no time at all
+        row.write.mode("append").parquet(src + "0")
+        stream = spark.readStream.schema(row.schema).parquet(src + "0")
+        assert jobs.publish_stream(stream, tasks, folder=folder + "0", keep_days=0.00000002).count() == want
