@@ -59,8 +59,8 @@ def separator_before(block_type: Column, i: Column) -> Column:
     return F.when(i == 0, "").when(tight, "\n").otherwise("\n\n")
 
 
-def place_blocks(blocks: Column) -> Column:
-    """Blocks in reading order -> struct(canonical_text, blocks with start and end)."""
+def place_blocks(blocks: Column, boxes: bool = False) -> Column:
+    """Blocks in reading order -> struct(canonical_text, blocks with start and end), and their ``bbox`` where they have one."""
 
     def build(bs: Column) -> Column:
         lengths = F.transform(
@@ -87,6 +87,7 @@ def place_blocks(blocks: Column) -> Column:
                             b["is_ocr"].alias("is_ocr"),
                             start.alias("start"),
                             (start + F.length(b["text"])).alias("end"),
+                            *([b["bbox"].alias("bbox")] if boxes else []),
                         ),
                     ),
                 ).alias("blocks"),
@@ -107,16 +108,24 @@ def canonical_documents(docs: DataFrame, text: str = "text", separator: str = BL
     )
 
 
+_BOX = {n: f"bbox_{n}" for n in ("x", "y", "width", "height")}
+
+
 def canonical_from_blocks(blocks: DataFrame, key: str = "version_id") -> DataFrame:
     """Flat block rows of paged documents -> one canonical row per document.
 
     Needs ``page_number``, ``reading_order`` and the fields of ``BLOCK``. One
-    document's text is one value, so its blocks meet in one row by definition.
+    document's text is one value, so its blocks meet in one row by definition. Boxes in columns
+    bbox_x, bbox_y, bbox_width and bbox_height become a ``bbox`` of the blocks.
     """
-    item = F.struct("page_number", "reading_order", *[f.name for f in BLOCK.fields if f.name != "page_number"])
+    boxes = set(_BOX.values()) <= set(blocks.columns)
+    item = F.struct(
+        "page_number", "reading_order", *[f.name for f in BLOCK.fields if f.name != "page_number"],
+        *([F.struct(*[F.col(c).cast("double").alias(n) for n, c in _BOX.items()]).alias("bbox")] if boxes else []),
+    )
     rows = blocks.withColumn("text", clean_spacing(compose_unicode(F.col("text")))).filter(F.col("text") != "")
     grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    placed = grouped.withColumn("_placed", place_blocks(F.col("_items")))
+    placed = grouped.withColumn("_placed", place_blocks(F.col("_items"), boxes))
     return placed.select(
         key, F.col("_placed.canonical_text").alias("canonical_text"), F.col("_placed.blocks").alias("blocks")
     )
@@ -127,10 +136,30 @@ def block_rows(canonical: DataFrame, *keep: str) -> DataFrame:
     return unnest(canonical, F.col("blocks"), *keep).select(*keep, "_item.*")
 
 
-def source_map(canonical: DataFrame, key: str = "version_id") -> DataFrame:
-    """Block id, page, interval, OCR flag and confidence per block."""
-    return block_rows(canonical, key).select(
-        key, "block_id", "page_number", "start", "end", "is_ocr", "confidence"
+def source_map(canonical: DataFrame, key: str = "version_id", origin: bool = False) -> DataFrame:
+    """Block id, page, interval, OCR flag and confidence per block.
+
+    With ``origin`` also the interval in UTF-8 bytes and UTF-16 units of the canonical text, and
+    ``bbox``, null for blocks without a box. Separators are ASCII, so a block's offset grows by
+    what the texts of earlier blocks take beyond one unit a character: one prefix sum a document.
+    """
+    plain = ["block_id", "page_number", "start", "end", "is_ocr", "confidence"]
+    if not origin:
+        return block_rows(canonical, key).select(key, *plain)
+    has_box = "bbox" in canonical.schema["blocks"].dataType.elementType.names
+    box = F.col("_b.bbox") if has_box else F.lit(None).cast("struct<x:double,y:double,width:double,height:double>")
+    sizes = {"byte": F.octet_length, "utf16": lambda text: (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")}
+
+    def beyond(size) -> Column:
+        return running_starts(F.transform("blocks", lambda b: size(b["text"]) - F.length(b["text"])))
+
+    rows = canonical.select(key, "blocks", *[beyond(size).alias(name) for name, size in sizes.items()]).select(key, F.explode(F.arrays_zip("blocks", *sizes)).alias("_z"))
+    flat = rows.select(key, F.col("_z.blocks").alias("_b"), *[F.col(f"_z.{name}").alias(name) for name in sizes])
+    starts = {name: F.col("_b.start") + F.col(name) for name in sizes}
+    return flat.select(
+        key, *[F.col(f"_b.{c}").alias(c) for c in plain],
+        *[c for name, size in sizes.items() for c in (starts[name].alias(f"{name}_start"), (starts[name] + size(F.col("_b.text"))).alias(f"{name}_end"))],
+        box.alias("bbox"),
     )
 
 

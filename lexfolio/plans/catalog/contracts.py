@@ -171,6 +171,22 @@ def _(t):
     return p.trace_rows(reviewed(t)).select("version_id", "rule_id", "severity", "condition_type", "passed", "citation_count")
 
 
+_MUST_EXIST = ", ".join(f"'{r['id']}'" for rules in PLAYBOOKS.values() for r in rules if r["condition"]["type"] == "clause_presence" and r["condition"]["expected"] == "present")
+
+
+# Every seventh contract was read badly: its blocks are a quarter or three quarters sure, in turn.
+@query("l09_abstentions", f"""WITH RECURSIVE {POLICY}, sure AS (SELECT version_id, avg(CASE WHEN CAST(version_id AS BIGINT) % 7 <> 0 THEN 1.0 WHEN block_index % 2 = 0 THEN 0.25 ELSE 0.75 END) AS mean FROM blocks GROUP BY version_id),
+t AS (SELECT version_id, rule_id, n_viol IS NULL AS passed, n_viol IS NOT NULL AND rule_id IN ({_MUST_EXIST}) AND mean < {lx.ABSTAIN_BELOW} AS abstained FROM traces JOIN sure USING (version_id))
+SELECT version_id, rule_id, passed, abstained, NOT passed AND NOT abstained AS found FROM t""")
+def _(t):
+    sure = F.when(F.col("version_id").cast("long") % 7 != 0, 1.0)
+    docs = with_facts(t).withColumn("blocks", F.transform("blocks", lambda b: b.withField("confidence", sure.when(b["block_index"] % 2 == 0, 0.25).otherwise(0.75))))
+    judged = p.evaluate_playbooks(docs)
+    found = F.transform("findings", lambda f: f["rule_id"])
+    return unnest(judged.withColumn("_found", found), F.col("results"), "version_id", "_found").select(
+        "version_id", "_item.rule_id", "_item.passed", "_item.abstained", F.array_contains("_found", F.col("_item.rule_id")).alias("found"))
+
+
 @query("l10_findings", f"WITH RECURSIVE {POLICY} SELECT version_id, rule_id, category, severity, title, explanation, suggested_action, CASE WHEN patch_text IS NOT NULL AND quote IS NOT NULL THEN quote END AS patch_original, CASE WHEN patch_text IS NOT NULL AND quote IS NOT NULL THEN patch_text END AS patch_replacement FROM findings")
 def _(t):
     return p.finding_rows(reviewed(t)).select(
@@ -206,7 +222,7 @@ def _(t):
 
 # Compound conditions, prohibited wording and an own playbook given as data.
 CUSTOM = {
-    "nda": [
+    "own": [
         {"id": "AND", "name": "and", "category": "x", "severity": "low", "explanationTemplate": "{{prohibitedMatch}} {{clauseCount}}", "condition": {"type": "logical_and", "conditions": [
             {"type": "clause_presence", "category": "governing_law", "expected": "present"}, {"type": "prohibited_formulation", "pattern": "source code|section \\d{2}"}]}},
         {"id": "OR", "name": "or", "category": "x", "severity": "low", "explanationTemplate": "{{clauseCount}}", "condition": {"type": "logical_or", "conditions": [
@@ -218,13 +234,13 @@ CUSTOM = {
 
 
 @query("l08_compound_rules", f"""WITH RECURSIVE {FACTS}, d AS (SELECT version_id, count(*) FILTER (category = 'governing_law') AS gov, count(*) FILTER (category = 'indemnification') AS ind,
- count(*) FILTER (regexp_matches(full_text, '(?i)source code|section \\d{{2}}')) AS bad, count(*) FILTER (category = 'confidentiality' AND contains(lower(full_text), 'compelled by law')) AS law FROM facts JOIN contracts USING (version_id) WHERE playbook = 'nda' GROUP BY ALL),
+ count(*) FILTER (regexp_matches(full_text, '(?i)source code|section \\d{{2}}')) AS bad, count(*) FILTER (category = 'confidentiality' AND contains(lower(full_text), 'compelled by law')) AS law FROM facts GROUP BY ALL),
 pay AS (SELECT version_id, count(*) AS n FROM fq WHERE field = 'payment_net_days' AND NOT value > 30 GROUP BY ALL)
 SELECT version_id, 'AND' AS rule_id, gov > 0 AND bad = 0 AS passed, CAST(CASE WHEN gov > 0 THEN bad ELSE 0 END AS INTEGER) AS citation_count FROM d
 UNION ALL SELECT version_id, 'OR', ind > 0 OR coalesce(n, 0) = 0, CAST(CASE WHEN ind > 0 THEN 0 ELSE coalesce(n, 0) END AS INTEGER) FROM d LEFT JOIN pay USING (version_id)
 UNION ALL SELECT version_id, 'NOT', law > 0, CAST(law AS INTEGER) FROM d""")
 def _(t):
-    docs = with_facts(t).filter(F.col("playbook") == "nda")
+    docs = with_facts(t).withColumn("playbook", F.lit("own"))
     return p.trace_rows(p.evaluate_playbooks(docs, playbooks=CUSTOM)).select("version_id", "rule_id", "passed", "citation_count")
 
 

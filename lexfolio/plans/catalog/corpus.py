@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexfolio.functions.text import normalize_text, utf16_offset
+from lexfolio.functions.text import normalize_text
 from lexfolio.operators import ir
 from lexfolio.plans.catalog.sqlparts import blocks_cte, cleaned
 from lexfolio.plans.registry import query
@@ -68,10 +68,13 @@ def _(t):
  CAST(length(substring(canonical_text, 1, start)) + len(regexp_extract_all(substring(canonical_text, 1, start), '[\\x{{10000}}-\\x{{10FFFF}}]')) AS INTEGER) AS utf16_start
  FROM blocks JOIN blocks_doc USING (version_id)""")
 def _(t):
-    docs = doc_lines(t)
-    return docs.select("version_id", "canonical_text", F.explode("blocks").alias("b")).select(
-        "version_id", "b.block_id", utf16_offset(F.col("canonical_text"), F.col("b.start")).alias("utf16_start")
-    )
+    return ir.source_map(doc_lines(t), origin=True).select("version_id", "block_id", "utf16_start")
+
+
+@query("p03_byte_offsets", f"""WITH {DOC_LINES} SELECT version_id, block_id, start, "end", CAST(strlen(substring(canonical_text, 1, start)) AS INTEGER) AS byte_start,
+ CAST(strlen(substring(canonical_text, 1, "end")) AS INTEGER) AS byte_end FROM blocks JOIN blocks_doc USING (version_id)""")
+def _(t):
+    return ir.source_map(doc_lines(t), origin=True).select("version_id", "block_id", "start", "end", "byte_start", "byte_end")
 
 
 @query("s09_ir_round_trip", f"""WITH {CONTRACT_BLOCKS} SELECT version_id, canonical_text, CAST(count(*) AS INTEGER) AS blocks,

@@ -8,7 +8,7 @@ from lexfolio import lexicons as lx
 from lexfolio.operators import ir, layout
 from lexfolio.plans.catalog.corpus import CONTRACT_BLOCKS, contract_docs
 from lexfolio.plans.registry import query
-from lexfolio.session import scratch_path
+from lexfolio.session import materialize, scratch_path
 from lexfolio.sources import corpora, files
 
 IT = f"it AS ({corpora.TEXT_ITEMS_SQL})"
@@ -84,6 +84,16 @@ def _(t):
     return ir.canonical_from_blocks(blocks).select("version_id", "canonical_text")
 
 
+@query("p03_boxes", f"""WITH {GRP}, s AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN '' WHEN block_type = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END AS sep FROM gb WINDOW w AS (PARTITION BY version_id ORDER BY page_number, reading_order)),
+e AS (SELECT *, sum(length(sep) + length(text)) OVER w AS stop, sum(strlen(sep) + strlen(text)) OVER w AS byte_stop FROM s WINDOW w AS (PARTITION BY version_id ORDER BY page_number, reading_order ROWS UNBOUNDED PRECEDING))
+SELECT version_id, page_number, 'b' || reading_order AS block_id, CAST(stop - length(text) AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", CAST(byte_stop - strlen(text) AS INTEGER) AS byte_start, CAST(byte_stop AS INTEGER) AS byte_end,
+ round(x0, 4) AS bbox_x, round(y0, 4) AS bbox_y, round(greatest(0.01, x1 - x0), 4) AS bbox_width, round(greatest(0.01, y1 - y0), 4) AS bbox_height FROM e""")
+def _(t):
+    blocks = layout.group_blocks(layout.reading_order(corpora.text_items(t))).withColumn("block_index", F.col("reading_order"))
+    rows = ir.source_map(ir.canonical_from_blocks(blocks), origin=True)
+    return rows.select("version_id", "page_number", "block_id", "start", "end", "byte_start", "byte_end", *[F.col(f"bbox.{c}").alias(f"bbox_{c}") for c in ("x", "y", "width", "height")])
+
+
 OCR = f"""ow AS ({corpora.OCR_WORDS_SQL}), al AS (SELECT * FROM ow UNION ALL SELECT DISTINCT version_id, 1, page_num, 0, 0, 0, 0, 0, 1000, 1400, -1.0, '' FROM ow WHERE page_num % 2 = 0)"""
 
 
@@ -133,5 +143,31 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "documents")
     files.write_documents(contract_docs(t).withColumnRenamed("playbook", "workspace_id"), path)
-    blocks = t.spark.read.parquet(f"{path}/blocks").groupBy("version_id").agg(F.count("*").alias("blocks"))
+    blocks = files.read_blocks(t.spark, path).groupBy("version_id").agg(F.count("*").alias("blocks"))
     return t.spark.read.parquet(f"{path}/versions").join(blocks, "version_id").select("version_id", "workspace_id", "blocks", "sha256")
+
+
+@query("s06_partition_rewrite", f"""WITH {CONTRACT_BLOCKS} SELECT version_id, playbook AS workspace_id, CAST(count(*) + CASE WHEN playbook = 'nda' THEN 1 ELSE 0 END AS BIGINT) AS blocks,
+ sha256(canonical_text || CASE WHEN playbook = 'nda' THEN chr(10) || chr(10) || 'Amended.' ELSE '' END) AS sha256, playbook = 'services' AND ends_with(version_id, '3') AS is_deleted, playbook <> 'nda' AS same_version_file, playbook NOT IN ('nda', 'services') AS same_document_file
+ FROM blocks JOIN blocks_doc USING (version_id) JOIN contracts USING (version_id) GROUP BY version_id, playbook, canonical_text""")
+def _(t):
+    # One workspace is deleted from and another published anew, both twice; the files of the others stay as they are.
+    path = scratch_path(t.spark, "rewrite")
+    texts = corpora.contracts(t).withColumnRenamed("playbook", "workspace_id")
+    files.write_documents(ir.canonical_documents(texts), path)
+
+    def held(name):
+        return t.spark.read.parquet(f"{path}/{name}").select("version_id", F.col("_metadata.file_path").alias(name))
+
+    before = materialize(held("versions").join(held("documents"), "version_id"), "files")
+    amended = texts.filter("workspace_id = 'nda'").withColumn("text", F.concat("text", F.lit("\n\nAmended.")))
+    gone = texts.filter("workspace_id = 'services' AND version_id LIKE '%3'").select("workspace_id", "version_id", F.to_timestamp(F.lit("2024-05-01")).alias("deleted_at"))
+    for _ in range(2):
+        files.republish_documents(ir.canonical_documents(amended), path)
+        files.delete_documents(gone, path)
+    blocks = files.read_blocks(t.spark, path).groupBy("version_id").agg(F.count("*").alias("blocks"))
+    now = t.spark.read.parquet(f"{path}/versions").select("version_id", "workspace_id", "sha256", F.col("_metadata.file_path").alias("v"))
+    documents = t.spark.read.parquet(f"{path}/documents").select("version_id", "is_deleted", F.col("_metadata.file_path").alias("d"))
+    return now.join(documents, "version_id").join(blocks, "version_id").join(before, "version_id").select(
+        "version_id", "workspace_id", "blocks", "sha256", "is_deleted", (F.col("v") == F.col("versions")).alias("same_version_file"),
+        (F.col("d") == F.col("documents")).alias("same_document_file"))

@@ -41,6 +41,22 @@ def test_utf16_offsets(spark):
     assert df.select(utf16_offset(F.col("t"), F.lit(2))).first()[0] == 3
 
 
+def test_source_map_counts_bytes_units_and_boxes(spark):
+    texts = ["# Tête", "a😀b 中文", "- item", "", "end é"]
+    doc = ir.canonical_documents(spark.createDataFrame([("v", "\n\n".join(texts)), ("e", ""), ("n", None)], "version_id string, text string"))
+    whole = doc.filter("version_id = 'v'").first()["canonical_text"]
+    rows = ir.source_map(doc, origin=True).orderBy("start").collect()
+    assert len(rows) == 4 and all(r["bbox"] is None and r["version_id"] == "v" for r in rows)
+    for r in rows:
+        for edge in ("start", "end"):
+            before = whole[: r[edge]]
+            assert (r[f"byte_{edge}"], r[f"utf16_{edge}"]) == (len(before.encode()), len(before.encode("utf-16-be")) // 2)
+    schema = "version_id string, page_number int, reading_order int, block_index int, block_type string, text string, level int, confidence double, is_ocr boolean, bbox_x double, bbox_y double, bbox_width double, bbox_height double"
+    paged = spark.createDataFrame([("v", 2, 0, 1, "paragraph", "b", None, 1.0, False, 0.1, 0.2, 0.3, 0.4), ("v", 1, 0, 0, "paragraph", "a", None, 1.0, True, None, None, None, None)], schema)
+    rows = ir.source_map(ir.canonical_from_blocks(paged), origin=True).orderBy("start").collect()
+    assert [tuple(r["bbox"]) for r in rows] == [(None,) * 4, (0.1, 0.2, 0.3, 0.4)] and [r["byte_start"] for r in rows] == [0, 3]
+
+
 def test_tokens_and_dice(spark):
     df = spark.createDataFrame([("The café costs $5.00, it's non-trivial.", "a b c", "b c d")], "t string, x string, y string")
     row = df.select(search_tokens(F.col("t")).alias("t"), dice(F.col("x"), F.col("y")).alias("d")).first()

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from lexfolio.operators import layout, spans
+from lexfolio.operators import ir, layout, spans
 from lexfolio.sources import files
 from lexfolio.streaming import jobs
 
@@ -79,3 +79,30 @@ def test_a_forgotten_task_counts_as_new(spark, tmp_path):
         row.write.mode("append").parquet(src + "0")
         stream = spark.readStream.schema(row.schema).parquet(src + "0")
         assert jobs.publish_stream(stream, tasks, folder=folder + "0", keep_days=0.00000002).count() == want
+
+
+def test_rewrites_touch_only_their_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def canonical(rows):
+        return ir.canonical_documents(spark.createDataFrame(rows, "workspace_id string, version_id string, text string"))
+
+    def stored():
+        versions = spark.read.parquet(path + "/versions").select("version_id", "canonical_text")
+        return {r[0]: (r[1], r[2]) for r in versions.join(spark.read.parquet(path + "/documents"), "version_id").select("version_id", "canonical_text", "is_deleted").collect()}
+
+    def files_of(workspace):
+        return sorted(p.name for p in (tmp_path / "t" / "versions" / f"workspace_id={workspace}").glob("*.parquet"))
+
+    files.write_documents(canonical([("1", "a", "one"), ("1", "b", "two\n\nthree"), ("2", "c", "four")]), path)
+    others = files_of("2")
+    gone = spark.createDataFrame([("1", "b"), ("1", "b"), ("2", "nobody"), ("9", "a")], "workspace_id string, version_id string").withColumn("deleted_at", F.current_timestamp())
+    for _ in range(2):
+        files.republish_documents(canonical([("1", "a", ""), ("3", "d", "new")]), path)  # no text, and a new partition
+        files.delete_documents(gone, path)
+        files.republish_documents(canonical([]), path)
+        assert stored() == {"a": ("", False), "b": ("two\n\nthree", True), "c": ("four", False), "d": ("new", False)}
+        assert sorted(r["version_id"] for r in files.read_blocks(spark, path).collect()) == ["b", "b", "c", "d"]
+    assert files_of("2") == others
+    files.republish_documents(canonical([("1", "b", "back")]), path)
+    assert stored()["b"] == ("back", False)
