@@ -139,6 +139,16 @@ def _(t):
     return files.known_contents(rows, stored).select("doc_id")
 
 
+@query("s05_blob_metadata", f"""WITH b AS (SELECT doc_id, lang, {_BODY} AS body, {_TYPE} AS media_type FROM documents),
+k AS (SELECT sha256(body) AS sha256, min(doc_id) AS first_id, max(octet_length(encode(body))) AS byte_size, arg_min(coalesce(media_type, 'application/octet-stream'), doc_id) AS media_type FROM b GROUP BY ALL)
+SELECT sha256, CAST(byte_size AS BIGINT) AS byte_size, media_type, first_id AS stored_at FROM k WHERE sha256 IN (SELECT sha256(body) FROM b WHERE lang = 'en')""")
+def _(t):
+    rows = bodies(t).join(t.documents.select("doc_id", "lang"), "doc_id").withColumn("media_type", files.media_type(F.col("content")))
+    stored = files.distinct_contents(rows, "doc_id", "media_type").withColumnRenamed("doc_id", "stored_at")
+    asked = rows.filter("lang = 'en'").select(files.content_key(F.col("content")).alias("sha256"))
+    return files.blob_metadata(asked, stored).withColumn("byte_size", F.col("byte_size").cast("bigint"))
+
+
 @query("s06_document_write", f"WITH {CONTRACT_BLOCKS} SELECT version_id, playbook AS workspace_id, CAST(count(*) AS BIGINT) AS blocks, sha256(canonical_text) AS sha256 FROM blocks JOIN blocks_doc USING (version_id) JOIN contracts USING (version_id) GROUP BY version_id, playbook, canonical_text")
 def _(t):
     path = scratch_path(t.spark, "documents")
