@@ -45,12 +45,14 @@ class VantageTree:
         squared = self.norms[rows] + self.norms[point] - 2 * (self.x[rows] @ self.x[point]) + (self.lift[rows] - self.lift[point]) ** 2
         return np.sqrt(np.maximum(squared, 0))
 
-    def search(self, q: np.ndarray, top_norm: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Scores and rows of the k best of each query, unsorted; missing places have row -1."""
+    def search(self, q: np.ndarray, top_norm: float, k: int, factor: float):
+        """Yield (queries, rows): pairs of which no one scores clearly below the query's k-th best.
+
+        All rows that tie with the k-th are there, in chunks of queries that bound the pairs at once.
+        """
         n = len(q)
         base = (q * q).sum(axis=1) + top_norm**2
         best = np.full((n, k), -np.inf)
-        rows = np.full((n, k), -1)
         bound = np.zeros((n, len(self.leaves)))
         if self.vantage:
             d = np.sqrt(np.maximum(base[:, None] - 2 * (q @ self.x[self.vantage].T), 0))
@@ -61,9 +63,7 @@ class VantageTree:
         def visit(at: int, who: np.ndarray) -> None:
             members = self.leaves[at][0]
             score = np.concatenate((best[who], q[who] @ self.x[members].T), axis=1)
-            names = np.concatenate((rows[who], np.broadcast_to(members, (len(who), len(members)))), axis=1)
-            keep = np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.arange(score.shape[1])[None].repeat(len(who), 0)
-            best[who], rows[who] = np.take_along_axis(score, keep, 1), np.take_along_axis(names, keep, 1)
+            best[who] = np.partition(score, score.shape[1] - k, axis=1)[:, -k:]
 
         done = np.zeros(bound.shape, np.bool_)
         first = np.argsort(bound, axis=1, kind="stable")[:, :2]
@@ -74,11 +74,20 @@ class VantageTree:
                 done[who, at] = True
         for at in np.argsort(bound.mean(axis=0), kind="stable"):
             kth = best.min(axis=1)
-            reach = np.sqrt(np.maximum(base - 2 * np.where(np.isfinite(kth), kth, -np.inf), 0)) + 1e-9
+            reach = np.sqrt(np.maximum(base - 2 * kth, 0)) + 1e-7 * np.sqrt(base)  # more than roots of rounded squares are off
             who = np.flatnonzero(~done[:, at] & (bound[:, at] * factor <= reach))
             if len(who):
                 visit(int(at), who)
-        return best, rows
+                done[who, at] = True
+        floor = best.min(axis=1) - 1e-12 * base  # sums in another order may be this far apart
+        for lo in range(0, n, 256):
+            pairs = []
+            for at, (members, _) in enumerate(self.leaves):
+                who = lo + np.flatnonzero(done[lo : lo + 256, at])
+                i, j = np.nonzero(q[who] @ self.x[members].T >= floor[who, None])
+                pairs.append((who[i], members[j]))
+            if pairs:
+                yield tuple(np.concatenate(side) for side in zip(*pairs, strict=True))
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -99,10 +108,10 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest, all candidates if fewer.
 
-    Both frames have vec_id and embedding (one width). Null, zero and non-finite vectors
-    take no part. A query's own vec_id is no candidate. Equal vectors of a shard are one tree
-    entry that lists its k + 1 smallest ids, so a large group of copies costs one comparison
-    and ties still go to the smallest ids. Rows that repeat a vec_id count once each.
+    Both frames have vec_id and embedding. Null, zero and non-finite vectors take no part;
+    a query's candidates are the vectors of its own width. A query's own vec_id is no candidate. Equal vectors of a shard are one tree
+    entry that lists its k + 1 smallest ids, so a large group of copies costs one comparison.
+    Ties go to the smallest ids, of copies and of different vectors with one inner product. Rows that repeat a vec_id count once each.
     Queries meet shards in blocks; a task holds one shard and one block.
     """
     vectors, queries = usable(vectors), usable(queries)
@@ -124,17 +133,27 @@ def search(
                 ids[i].append(v)
         q = _matrix(block["embedding"])
         lift = np.sqrt(np.maximum(top_norm**2 - (x * x).sum(axis=1), 0))
-        # the query itself and rounding may take places: search a few more
-        _, rows = VantageTree(x, lift, leaf).search(q, top_norm, k + 4, factor)
+        smallest = np.array([i[0] for i in ids])
+        asked = block["vec_id"].to_numpy()
         out_q, out_v, out_s = [], [], []
-        for i, query_id in enumerate(block["vec_id"].tolist()):
-            found = np.sort(rows[i][rows[i] >= 0])
-            score = np.einsum("ij,j->i", x[found], q[i])  # the same order of additions in every row
-            mine = sorted((-s, v) for s, r in zip(score.tolist(), found.tolist(), strict=True) for v in ids[r] if v != query_id)[:k]
-            out_q += [query_id] * len(mine)
-            out_v += [v for _, v in mine]
-            out_s += [-s for s, _ in mine]
-        return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s})
+        # the query itself may take a place: search one more
+        for who, rows in VantageTree(x, lift, leaf).search(q, top_norm, k + 1, factor):
+            score = np.empty(len(who))
+            for lo in range(0, len(who), 65_536):
+                part = slice(lo, lo + 65_536)
+                score[part] = np.einsum("ij,ij->i", x[rows[part]], q[who[part]])  # the same order of additions in every row
+            order = np.lexsort((smallest[rows], -score, who))
+            who, rows, score = who[order], rows[order], score[order]
+            starts = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+            for lo, hi in zip(starts.tolist(), np.r_[starts[1:], len(who)].tolist(), strict=True):
+                query_id = int(asked[who[lo]])
+                # an entry outside the first k + 1 is behind k + 1 ids: its own cannot be among the first k
+                first = zip(score[lo : min(hi, lo + k + 1)].tolist(), rows[lo : min(hi, lo + k + 1)].tolist(), strict=True)
+                mine = sorted((-s, v) for s, r in first for v in ids[r] if v != query_id)[:k]
+                out_q += [query_id] * len(mine)
+                out_v += [v for _, v in mine]
+                out_s += [-s for s, _ in mine]
+        return pd.DataFrame({"query_id": out_q, "vec_id": out_v, "score": out_s}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -142,6 +161,7 @@ def search(
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     )
-    found = sharded.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    keys = (F.size("embedding").alias("width"), "shard", "block")
+    found = sharded.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

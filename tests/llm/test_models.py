@@ -41,6 +41,22 @@ def test_vantage_search_of_few_and_no_rows(spark):
     assert vptree.search(few.limit(0), few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1.0, 1.15])
+def test_ties_of_different_vectors_go_to_the_smallest_ids(spark, factor):
+    rng = np.random.default_rng(5)
+    ties = [[1.0, *(float(v) for v in rng.integers(-1000, 1000, 3) / 1024)] for _ in range(400)]
+    rows = [(i, v, "a") for i, v in enumerate(ties)] + [(1000, [1.0, 0.0, 0.0, 0.0], "q"), (1000, [1.0, 0.0, 0.0, 0.0], "q")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = vptree.search(frame, frame.filter("vec_id = 1000").limit(1), factor=factor, leaf=16, shard_rows=150).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20)) and {r.score for r in got} == {1.0}
+
+
+def test_vectors_meet_those_of_their_own_width(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (20, [1.0, 0.0, 2.0]), (3, [3.0, 1.0, 0.0]), (5, [])], "vec_id long, embedding array<double>")
+    got = vptree.search(frame, frame.filter("vec_id % 20 = 0")).collect()
+    assert sorted((r.query_id, r.vec_id, r.score) for r in got) == [(0, 1, 0.5), (20, 3, 3.0)]
+
+
 def test_sampled_segmentations_are_distinct_and_decode(docs_frame):
     rows = [(1, "the cat sat"), (2, None), (3, ""), (4, "  two  blanks "), (5, "zß€ 𝄞\n\ttab"), (6, prose(1, 3000)), (1, "the cat sat")]
     got = lattice.sample_segmentations(docs_frame([(i, t, "en") for i, t in rows]), k=3)
