@@ -8,7 +8,7 @@ earlier one that near is removed; equal lines keep the earliest.
 Long lines would emit a key a character. One edit leaves the first or the second half of
 the shorter line in place, and again one half of the rest, and so on. So variants are
 emitted only by lines that share all but an eighth with another one, and only over that
-eighth. Lines are known by 64-bit hashes; candidates are verified on their texts.
+eighth. Equal lines are known by 128 bits of hashes; near candidates are verified on their texts.
 """
 
 from __future__ import annotations
@@ -19,12 +19,21 @@ from pyspark.sql import functions as F
 from lexfolio.session import materialize
 
 
+#: A place in the order of lines: the document, its row (by a hash of the text), the line number.
+PLACE = ("doc_id", "row", "at")
+
+
+def _row_key() -> Column:
+    """What tells rows of one doc_id apart: 128 bits of their texts."""
+    return F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, at (line number from 0), line (trimmed) for the lines that are not blank."""
+    """doc_id, row, at (line number from 0), line (trimmed) for the lines that are not blank."""
     each = docs.filter(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("at", "line")
+        F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line")
     )
-    return each.select("doc_id", "at", F.trim("line").alias("line")).filter("line != ''")
+    return each.select(*PLACE, F.trim("line").alias("line")).filter("line != ''")
 
 
 def _halved(steps: int) -> Column:
@@ -70,14 +79,15 @@ def _shared(keyed: DataFrame, key: str) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """x of the line classes (x, doc, at of the earliest) that have an earlier different one within one edit.
+    """x, y of the line classes (x, y, place of the earliest) that have an earlier different one within one edit.
 
     Only hashes are shuffled until few lines are left; then their variants are keys as well.
     """
     halves = lines.select("x", F.explode(_halved(1)["h"]).alias("half"))
     ids = _shared(halves, "half").select("x").distinct()
-    texts = lines.join(ids, "x").join(classes.select("x", "first"), "x").filter(F.struct("doc_id", "at") == F.col("first"))
-    kept = materialize(texts.select("x", "line", "first"), "lines")
+    texts = lines.join(ids, "x").join(classes.select("x", "y", "first"), ["x", "y"]).filter(F.struct(*PLACE) == F.col("first"))
+    # a row that is stored twice holds its lines twice at one place
+    kept = materialize(texts.select("x", "y", "line", "first").dropDuplicates(["x", "y"]), "lines")
     eighths = kept.select("x", F.posexplode(_halved(3)["h"]).alias("i", "key"))
     emitting = _shared(eighths, "key").distinct()
     rest = F.element_at(_halved(3), F.col("i") + 1)
@@ -86,39 +96,41 @@ def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
     )
     keyed = materialize(_shared(emitted.select("x", F.xxhash64("key", "variant").alias("key")), "key").distinct(), "variants")
     pairs = keyed.join(keyed.select("key", F.col("x").alias("x_b")), "key").filter("x < x_b").select("x", "x_b").distinct()
-    a = kept.select("x", F.col("line").alias("l_a"), F.col("first").alias("f_a"))
-    b = kept.select(F.col("x").alias("x_b"), F.col("line").alias("l_b"), F.col("first").alias("f_b"))
+    a = kept.select("x", F.struct("x", "y").alias("id_a"), F.col("line").alias("l_a"), F.col("first").alias("f_a"))
+    b = kept.select(F.col("x").alias("x_b"), F.struct("x", "y").alias("id_b"), F.col("line").alias("l_b"), F.col("first").alias("f_b"))
     near = pairs.join(a, "x").join(b, "x_b").filter(F.levenshtein("l_a", "l_b", 1) >= 0)
-    return near.select(F.when(F.col("f_a") < F.col("f_b"), F.col("x_b")).otherwise(F.col("x")).alias("x")).distinct()
+    return near.select(F.when(F.col("f_a") < F.col("f_b"), F.col("id_b")).otherwise(F.col("id_a")).alias("id")).select("id.*").distinct()
 
 
-def dedupe(docs: DataFrame, edits: int = 1, near_chars: int = 20) -> DataFrame:
+def dedupe(docs: DataFrame, edits: int = 1) -> DataFrame:
     """``docs`` with ``text`` rid of its repeated lines, n_lines and n_removed added.
 
-    Order of lines: by doc_id, then by place. Of equal lines (spaces at the ends aside) the
-    earliest stays. A line of ``near_chars`` characters or more also goes if an earlier
-    different line is within ``edits`` (0 or 1). Blank lines stay as they are. Null texts stay null,
-    with 0 lines. Rows without doc_id stay whole and take no part. Rows that share a doc_id
-    hold their lines at the same places: equal places keep equal lines.
+    Order of lines: by doc_id, then by row where rows share a doc_id (a hash of the text
+    orders those), then by place. Of equal lines (spaces at the ends aside) the earliest stays.
+    A line also goes if an earlier different line, of any length, is within ``edits`` (0 or 1;
+    other bounds raise). A carriage return counts as a character. Blank lines stay as they are.
+    Null texts stay null, with 0 lines. Rows without doc_id stay whole and take no part. Rows
+    of one doc_id and one text are the same row stored again: each gets the same text.
     """
-    lines = lines_of(docs).withColumn("x", F.xxhash64("line"))
+    if edits not in (0, 1):
+        raise ValueError(f"edits must be 0 or 1, not {edits}")
+    lines = lines_of(docs).withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
     # copies fold into classes with their earliest place before the shuffle; texts stay where they are
-    classes = materialize(lines.groupBy("x").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")), "classes")
-    again = classes.filter("n > 1").select("x", "first")
+    classes = materialize(lines.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")), "classes")
+    again = classes.filter("n > 1").select("x", "y", "first")
     if edits:
-        gone = near_lines(lines.filter(F.length("line") >= near_chars), classes).withColumn("gone", F.lit(True))
-        again = again.join(gone, "x", "full")
+        gone = near_lines(lines, classes).withColumn("gone", F.lit(True))
+        again = again.join(gone, ["x", "y"], "full")
     else:
         again = again.withColumn("gone", F.lit(None).cast("boolean"))
     drop = (
-        lines.select("doc_id", "at", "x")
-        .join(materialize(again, "repeats"), "x")
-        .filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "at") != F.col("first")))
-        .groupBy("doc_id")
-        .agg(F.collect_set("at").alias("_drop_lines"))  # at most the lines of one document
-        .withColumnRenamed("doc_id", "_drop_doc")
+        lines.select(*PLACE, "x", "y")
+        .join(materialize(again, "repeats"), ["x", "y"])
+        .filter(F.coalesce("gone", F.lit(False)) | (F.struct(*PLACE) != F.col("first")))
+        .groupBy(F.col("doc_id").alias("_drop_doc"), F.col("row").alias("_drop_row"))
+        .agg(F.collect_set("at").alias("_drop_lines"))  # at most the lines of one text
     )
-    joined = docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop_doc"), "left")
+    joined = docs.join(drop, (F.col("doc_id").cast("long") == F.col("_drop_doc")) & (_row_key() == F.col("_drop_row")), "left")
     split = F.split("text", "\n")
     kept = F.filter(split, lambda line, i: ~F.array_contains("_drop_lines", i))
     text = F.when(F.col("_drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexfolio.llm import licenses, line_dedup, ngram_join, spotsigs
@@ -103,13 +104,13 @@ def _near(a, b):
 
 
 def _deduped(rows):
+    """Texts by (id, text) under brute force; rows of one id whose texts differ need an order of their own."""
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         for k, line in enumerate((t or "").split("\n")):
             if line.strip(" "):
                 first.setdefault(line.strip(" "), (i, k))
-    long = [x for x in first if len(x) >= 20]
-    gone = {a for a in long if any(first[b] < first[a] and _near(a, b) for b in long)}
+    gone = {a for a in first if any(first[b] < first[a] and _near(a, b) for b in first)}
     out = {}
     for i, t in rows:
         if i is None or t is None:
@@ -132,6 +133,23 @@ def test_line_dedup_matches_brute_force(docs_frame):
     assert line_dedup.dedupe(docs_frame([])).count() == 0
 
 
+def test_short_lines_are_near_as_well(docs_frame):
+    rows = [(1, "Subscribe to us now\nab\nx"), (2, "Subscribe to us now!\nabc\ny"), (3, "cd\nto us\nq\r"), (4, "tous\n2024\n2025"), (5, "bc\n\u00e9\u00e8"), (6, "z\n\n20245")]
+    got = line_dedup.dedupe(docs_frame([(i, t, "en") for i, t in rows]))
+    assert {r.doc_id: r.text for r in got.collect()} == _deduped(rows)
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(docs_frame):
+    rows = [(0, "bar", "en"), (1, "foo is only here", "en"), (1, "bar", "en"), (2, "said twice", "en"), (2, "said twice", "en"), (3, "said twice", "en")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedupe(docs_frame(rows)).collect())
+    assert got == [(0, "bar", 0), (1, "", 1), (1, "foo is only here", 0), (2, "said twice", 0), (2, "said twice", 0), (3, "", 1)]
+
+
+def test_a_bound_beyond_one_edit_is_refused(docs_frame):
+    with pytest.raises(ValueError, match="edits"):
+        line_dedup.dedupe(docs_frame([]), edits=2)
+
+
 def test_fingerprints_against_the_next_document(docs_frame):
     rows = [(5, "the cat sat on the warm mat by the old door"), (3, "the cat sat on the warm mat by the old door"), (9, None), (7, ""), (8, "the of and " * 500), (1, prose(4, 50) + " € 𝄞")]
     got = {r.doc_id: r for r in spotsigs.fingerprints(docs_frame([(i, t, "en") for i, t in rows] + [(None, "x", "en")])).collect()}
