@@ -51,8 +51,11 @@ def section_blocks(blocks: Column, heads: Column, name: str) -> Column:
     return let(positions, cut)
 
 
-def contact_of(blocks: Column) -> Column:
-    """struct<name,email,phone,linkedin,github,location> from the first eight blocks."""
+def contact_of(blocks: Column, heads: Column, top: int | None = None) -> Column:
+    """struct<name,email,phone,linkedin,github,location> from the head of a resume.
+
+    That is every block before the first section head, and eight at least; ``top`` sets a fixed number instead.
+    """
 
     def some(value: Column) -> Column:
         return F.nullif(value, F.lit(""))
@@ -77,7 +80,10 @@ def contact_of(blocks: Column) -> Column:
             ),
         )
 
-    return let(F.slice(blocks, 1, 8), build)
+    if top is not None:
+        return let(F.slice(blocks, 1, top), build)
+    before = F.coalesce(first_where(F.transform(heads, lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()), F.size(blocks))
+    return let(F.greatest(F.lit(8), before), lambda n: let(F.slice(blocks, F.lit(1), n), build))
 
 
 def month_number(name: Column, default: int) -> Column:
@@ -269,8 +275,8 @@ def certifications_of(blocks: Column) -> Column:
     return F.filter(F.transform(lines, lambda l: squeeze_ends(F.regexp_replace(l, lx.CERT_MARKER, ""))), lambda l: F.length(l) > 3)
 
 
-def extract_profiles(canonical: DataFrame, as_of: int, key: str = "version_id") -> DataFrame:
-    """Canonical resumes -> one profile row each; no shuffle."""
+def extract_profiles(canonical: DataFrame, as_of: int, key: str = "version_id", contact_blocks: int | None = None) -> DataFrame:
+    """Canonical resumes -> one profile row each; no shuffle. ``contact_blocks``: see ``contact_of``."""
     heads = canonical.withColumn("_heads", section_heads(F.col("blocks")))
     cut = heads.withColumns({
         f"_{name}": section_blocks(F.col("blocks"), F.col("_heads"), name)
@@ -279,7 +285,7 @@ def extract_profiles(canonical: DataFrame, as_of: int, key: str = "version_id")
     has_summary = F.array_contains("_heads", "summary")
     with_roles = cut.select(
         key, "blocks", "_education", "_skills", "_certifications",
-        contact_of(F.col("blocks")).alias("contact"),
+        contact_of(F.col("blocks"), F.col("_heads"), contact_blocks).alias("contact"),
         F.when(has_summary, squeeze_ends(F.array_join(F.transform("_summary", lambda b: b["text"]), "\n\n"))).alias("summary_text"),
         roles_of(F.col("_experience")).alias("roles"),
     )

@@ -12,6 +12,7 @@ from lexfolio.plans import reviews
 from lexfolio.plans.catalog.sqlparts import WS, any_of, blocks_cte, label_case, pattern
 from lexfolio.plans.registry import query
 from lexfolio.sources import corpora
+from lexfolio.sources.corpora import build
 
 AS_OF = 2024 * 12 + 6
 
@@ -20,8 +21,12 @@ def profiles(t):
     return resume.extract_profiles(ir.canonical_documents(corpora.resumes(t)), AS_OF)
 
 
+# Every job post is applied for; posts outnumber resumes, so every resume applies as well.
+APPLICATIONS = "SELECT CAST(p_partkey % (SELECT count(*) FROM customer) AS STRING) AS version_id, CAST(p_partkey AS STRING) AS job_id FROM part"
+
+
 def applications(t):
-    return t.customer.select(F.col("c_custkey").cast("string").alias("version_id"), F.col("c_custkey").cast("string").alias("job_id"))
+    return build(t, APPLICATIONS, "part", "customer")
 
 
 def matched(t):
@@ -71,7 +76,7 @@ ev AS (SELECT version_id, 0 AS src, rn * 1000 AS pos, tt AS evidence, 'explicit'
 skills AS (SELECT version_id, name, category, source, evidence FROM ev JOIN skills_def ON regexp_matches(lower(evidence), p) QUALIFY row_number() OVER (PARTITION BY version_id, name ORDER BY src, pos) = 1)"""
 
 _F1 = f"string_agg(text, chr(10) ORDER BY rn)"
-CONTACT = f"""ct AS (SELECT version_id, {_F1} AS t, arg_min(fl, rn) FILTER (length(fl) > 2 AND length(fl) < 40 AND NOT contains(fl, '@') AND NOT contains(fl, 'http') AND NOT regexp_matches(fl, '\\d{{3}}')) AS name FROM (SELECT *, trim(string_split(tt, chr(10))[1], {WS}) AS fl FROM rb WHERE rn <= 8) GROUP BY version_id),
+CONTACT = f"""ct AS (SELECT version_id, {_F1} AS t, arg_min(fl, rn) FILTER (length(fl) > 2 AND length(fl) < 40 AND NOT contains(fl, '@') AND NOT contains(fl, 'http') AND NOT regexp_matches(fl, '\\d{{3}}')) AS name FROM (SELECT *, trim(string_split(tt, chr(10))[1], {WS}) AS fl FROM rh QUALIFY rn <= greatest(8, coalesce(min(rn) FILTER (head IS NOT NULL) OVER (PARTITION BY version_id) - 1, count(*) OVER (PARTITION BY version_id)))) GROUP BY version_id),
 contact AS (SELECT version_id, name, nullif(regexp_extract(t, {pattern(lx.EMAIL_PATTERN)}, 1), '') AS email, nullif(trim(regexp_extract(t, {pattern(lx.PHONE_PATTERN)}), {WS}), '') AS phone, nullif(regexp_extract(t, {pattern(lx.LINKEDIN_PATTERN)}), '') AS linkedin,
  nullif(regexp_extract(t, {pattern(lx.GITHUB_PATTERN)}), '') AS github, CASE WHEN regexp_matches(lower(loc), 'university|college') THEN NULL ELSE nullif(trim(loc, {WS}), '') END AS location FROM (SELECT *, regexp_extract(t, {pattern(lx.LOCATION_PATTERN)}, 1) AS loc FROM ct))"""
 
@@ -149,7 +154,7 @@ def _(t):
     return matching.requirement_rows(matching.parse_requirements(corpora.jobs(t))).withColumn("terms", F.array_join("terms", ","))
 
 
-MATCH = f"""{RES}, {REQ}, app AS (SELECT CAST(c_custkey AS VARCHAR) AS version_id, CAST(c_custkey AS VARCHAR) AS job_id FROM customer),
+MATCH = f"""{RES}, {REQ}, app AS ({APPLICATIONS}),
 ax AS (SELECT a.version_id, r.*, floor(total_months / 12 * 10 + 0.5) / 10 AS years FROM app a JOIN req r USING (job_id) JOIN exper USING (version_id)),
 sk AS (SELECT a.version_id, a.job_id, t.requirement_index, count(*) AS nt, count(s.name) AS nm FROM app a JOIN rt t USING (job_id) LEFT JOIN skills s ON s.version_id = a.version_id AND lower(s.name) = t.term GROUP BY ALL),
 ed AS (SELECT version_id, count(*) AS n, count(degree) AS nd FROM edu GROUP BY ALL),
@@ -179,12 +184,12 @@ def _(t):
     return matching.coverage(matched(t))
 
 
-@query("j19_skill_ratios", f"""{RES}, {REQ}, app AS (SELECT CAST(c_custkey AS VARCHAR) AS version_id, CAST(c_custkey AS VARCHAR) AS job_id FROM customer)
-SELECT a.version_id, t.requirement_index, CAST(count(*) AS INTEGER) AS terms, CAST(count(s.name) AS INTEGER) AS matched, round(count(s.name) / count(*), 6) AS ratio FROM app a JOIN rt t USING (job_id) LEFT JOIN skills s ON s.version_id = a.version_id AND lower(s.name) = t.term GROUP BY ALL""")
+@query("j19_skill_ratios", f"""{RES}, {REQ}, app AS ({APPLICATIONS})
+SELECT a.version_id, a.job_id, t.requirement_index, CAST(count(*) AS INTEGER) AS terms, CAST(count(s.name) AS INTEGER) AS matched, round(count(s.name) / count(*), 6) AS ratio FROM app a JOIN rt t USING (job_id) LEFT JOIN skills s ON s.version_id = a.version_id AND lower(s.name) = t.term GROUP BY ALL""")
 def _(t):
     req = matching.requirement_rows(matching.parse_requirements(corpora.jobs(t))).join(applications(t), "job_id")
     have = unnest(profiles(t), F.col("skills"), "version_id").select("version_id", "_item.name")
-    return matching.skill_ratios(req, have)
+    return matching.skill_ratios(req, have, ("version_id", "job_id", "requirement_index"))
 
 
 ATS = f"""{RES}, {CONTACT}, bs AS (SELECT version_id, count(*) AS n, count(*) FILTER ({' OR '.join(f"starts_with(lower(text), '{w}')" for w in lx.WEAK_OPENERS)}) AS weak, count(*) FILTER (regexp_matches(text, {pattern(lx.QUANTIFIED_PATTERN)})) AS q FROM bullets GROUP BY ALL),
@@ -248,6 +253,58 @@ def _(t):
     return found.groupBy("version_id", "category", "severity").agg(F.count("*").alias("findings"))
 
 
+def _worded(category: str, **values: str) -> str:
+    """title, explanation, suggested_action and confidence of a category with SQL expressions filled in."""
+    texts = next(f[1:] for f in lx.RESUME_FINDINGS if f[0] == category)
+    out = []
+    for name, text in zip(("title", "explanation", "suggested_action", "confidence"), texts, strict=True):
+        e = "'" + text.replace("'", "''") + "'"
+        for key, value in values.items():
+            e = f"replace({e}, '{{{{{key}}}}}', {value})"
+        out.append(f"{e} AS {name}")
+    return ", ".join(out)
+
+
+def _listed(sep: str, *parts: tuple[str, str]) -> str:
+    return f"array_to_string(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{label}{chr(39)} END' for c, label in parts)}], lambda x: x IS NOT NULL), '{sep}')"
+
+
+_GONE = (("email IS NULL", "email address"), ("phone IS NULL", "phone number"), ("location IS NULL", "location / city"))
+_SECTIONS = tuple((f"NOT EXISTS (SELECT 1 FROM {t} x WHERE x.version_id = sc.version_id)", label) for t, label in (("roles", "Experience"), ("edu", "Education"), ("skills", "Skills")))
+_CITED = "block_id || '@' || CAST(start AS STRING) || '-' || CAST(\"end\" AS STRING) || ' ' || {quote}"
+
+
+@query("u32_finding_evidence", f"""{MATCH}, {CONTACT}, {ATS.split(CONTACT + ', ')[1]}, {REV},
+wk AS (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY role_index, bullet_index) AS k FROM bullets WHERE {' OR '.join(f"starts_with(lower(text), '{w}')" for w in lx.WEAK_OPENERS)}),
+wc AS (SELECT version_id, string_agg({_CITED.format(quote='text')}, ' / ' ORDER BY k) AS cited FROM wk WHERE k <= {lx.CITED_WEAK_BULLETS} GROUP BY version_id),
+g1 AS (SELECT version_id, role_index, company AS later, start_month - lead(end_month) OVER w AS months, lead(company) OVER w AS earlier FROM roles WINDOW w AS (PARTITION BY version_id ORDER BY role_index)),
+g2 AS (SELECT version_id, arg_min(CAST(months AS VARCHAR) || ' month gap between ' || earlier || ' and ' || later, role_index) AS words FROM g1 WHERE months > 6 GROUP BY version_id),
+o1 AS (SELECT version_id, w, count(*) AS n, min(role_index * 100000 + bullet_index) AS seen FROM (SELECT *, regexp_replace(lower(regexp_extract(text, '^\\S*')), '[^a-z]', '', 'g') AS w FROM bullets) WHERE length(w) > 3 GROUP BY ALL HAVING count(*) > 3),
+o2 AS (SELECT version_id, string_agg('"' || w || '" (' || CAST(n AS VARCHAR) || 'x)', ', ' ORDER BY seen) AS words FROM o1 GROUP BY version_id),
+top AS (SELECT r.version_id, r.start, e."end" FROM roles r JOIN rends e USING (version_id, role_index) WHERE r.role_index = 0),
+hb AS (SELECT top.*, coalesce(min(b.block_id) FILTER (b.start <= top.start AND b."end" >= top."end"), arg_min(b.block_id, b.block_index)) AS block_id FROM top JOIN blocks b USING (version_id) GROUP BY ALL),
+rc AS (SELECT version_id, {_CITED.format(quote=f"trim(substring(canonical_text, start + 1, {chr(34)}end{chr(34)} - start), {WS})")} AS cited FROM hb JOIN blocks_doc USING (version_id)),
+tn AS (SELECT job_id, requirement_index, string_agg(term, ', ' ORDER BY o) AS names FROM rt GROUP BY ALL),
+gq AS (SELECT mt.version_id, mt.job_id, category, text, CASE WHEN category = 'experience_years' THEN 'Candidate has ' || CASE WHEN years = floor(years) THEN CAST(CAST(years AS BIGINT) AS VARCHAR) ELSE CAST(years AS VARCHAR) END || ' years of experience, which does not meet the required ' || CAST(coalesce(nullif(min_years, 0), 3) AS VARCHAR) || '+ years.'
+  WHEN category = 'education' THEN 'No formal degree or educational history listed on resume.' WHEN category <> 'domain_knowledge' AND nt IS NOT NULL THEN 'No evidence found on resume for requested technologies: ' || names || '.' ELSE 'No direct evidence found on resume for "' || text || '".' END AS why,
+  CASE WHEN category = 'experience_years' THEN coalesce(cited, '') ELSE '' END AS cited FROM mt LEFT JOIN tn USING (job_id, requirement_index) LEFT JOIN rc ON rc.version_id = mt.version_id WHERE priority = 'required' AND status = 'unsupported')
+SELECT version_id, NULL AS job_id, 'ats_contact' AS category, CASE WHEN email IS NULL THEN 'critical' ELSE 'medium' END AS severity, {_worded('ats_contact', parts=_listed(', ', *_GONE), both=_listed(' and ', *_GONE))}, '' AS cited, NULL AS replacement FROM sc JOIN contact USING (version_id) WHERE mc > 0
+UNION ALL SELECT version_id, NULL, 'ats_structure', 'high', {_worded('ats_structure', parts=_listed(', ', *_SECTIONS), both=_listed(' and ', *_SECTIONS))}, '', NULL FROM sc WHERE ms > 0
+UNION ALL SELECT version_id, NULL, 'ats_chronology', 'medium', {_worded('ats_chronology', parts='words')}, '', NULL FROM g2
+UNION ALL SELECT version_id, NULL, 'ats_action_verbs', 'medium', {_worded('ats_action_verbs', parts='CAST(weak AS VARCHAR)')}, cited, NULL FROM sc JOIN wc USING (version_id)
+UNION ALL SELECT version_id, NULL, 'ats_quantification', 'medium', {_worded('ats_quantification', parts='CAST(CAST(floor(q / nb * 100 + 0.5) AS INTEGER) AS VARCHAR)')}, '', NULL FROM sc WHERE nb > 0 AND q / nb < 0.35
+UNION ALL SELECT version_id, NULL, 'ats_repetition', 'low', {_worded('ats_repetition', parts='words')}, '', NULL FROM o2
+UNION ALL SELECT version_id, NULL, 'bullet_improvement', 'info', {_worded('bullet_improvement', why='rationale')}, {_CITED.format(quote='text')}, candidate FROM rev JOIN bullets b USING (version_id, role_index, bullet_index, text, start, "end")
+UNION ALL SELECT version_id, job_id, 'role_qualification_gap', 'high', {_worded('role_qualification_gap', parts='category', text='text', why='why')}, cited, NULL FROM gq""")
+def _(t):
+    found = reviews.resume_findings(ats.audit(profiles(t)), matched(t))
+    cited = F.array_join(F.transform("citations", lambda c: F.concat(
+        c["block_id"], F.lit("@"), c["start"].cast("string"), F.lit("-"), c["end"].cast("string"), F.lit(" "), c["quote"])), " / ")
+    return found.select(
+        "version_id", "job_id", "category", "severity", "title", "explanation", "suggested_action", "confidence", cited.alias("cited"),
+        F.col("patch.replacement").alias("replacement"))
+
+
 @query("u33_resume_summary", f"""{MATCH}, {CONTACT}, {ATS.split(CONTACT + ', ')[1]}, {REV}, c AS (SELECT version_id, job_id, count(*) FILTER (priority = 'required') AS rn, count(*) FILTER (priority <> 'required') AS pn, coalesce(list_reduce(list(score ORDER BY requirement_index) FILTER (priority = 'required'), lambda a, x: a + x), 0) AS re, coalesce(list_reduce(list(score ORDER BY requirement_index) FILTER (priority <> 'required'), lambda a, x: a + x), 0) AS pe FROM matches GROUP BY ALL)
 SELECT version_id, job_id, CAST((SELECT count(*) FROM roles r WHERE r.version_id = c.version_id) AS INTEGER) AS total_roles, floor(total_months / 12 * 10 + 0.5) / 10 AS total_years, CAST((SELECT count(*) FROM skills k WHERE k.version_id = c.version_id) AS INTEGER) AS total_skills,
  CAST(floor((s1 + s2 + s3 + s4 + s5 + s6) / 6 + 0.5) AS INTEGER) AS ats_score, CAST((SELECT count(*) FROM rev v WHERE v.version_id = c.version_id) AS INTEGER) AS revisions_generated,

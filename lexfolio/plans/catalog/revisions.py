@@ -85,3 +85,13 @@ def _(t):
     rows = compare.token_diffs(alignments(t))
     count = lambda op: F.size(F.filter("diff", lambda d: d["op"] == op))
     return rows.select("pair_id", "base_index", "target_index", *[count(op).alias(op + "s") for op in ("equal", "insert", "delete")])
+
+
+@query("c26_rebuilt_sides", f"WITH RECURSIVE {ALIGN} SELECT version_id AS pair_id, b AS base_index, t AS target_index, alignment, md5(coalesce(bt, '')) AS base_md5, md5(coalesce(tt, '')) AS target_md5, CASE WHEN bt = tt THEN 0 WHEN bt IS NULL OR tt IS NULL THEN 1 ELSE 2 END AS kind FROM ali")
+def _(t):
+    """Both sides of every clause put together again from the edit script, and what kinds of steps it takes."""
+    rows = compare.token_diffs(alignments(t))
+    side = lambda other: F.md5(F.array_join(F.transform(F.filter("diff", lambda d: d["op"] != other), lambda d: d["token"]), ""))
+    ops = F.array_distinct(F.transform("diff", lambda d: d["op"]))
+    kind = F.when(ops == F.array(F.lit("equal")), 0).when((F.size(ops) == 1) & (F.col("base_text").isNull() | F.col("target_text").isNull()), 1).otherwise(2)
+    return rows.select("pair_id", "base_index", "target_index", "alignment", side("insert").alias("base_md5"), side("delete").alias("target_md5"), kind.alias("kind"))

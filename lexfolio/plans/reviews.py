@@ -46,27 +46,27 @@ def review_resumes(docs: DataFrame, as_of: int, applications: DataFrame | None =
 
 
 def resume_findings(profiles: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """Failed checks, unsupported required qualifications and verified rewrites as one table."""
-    severity = F.when(F.col("check_id") == "check-structure", "high").when(F.col("check_id") == "check-repetition", "low").otherwise("medium")
-    checks = unnest(profiles.withColumn("_c", F.transform("checks", lambda c: F.struct(c.alias("c"), F.col("contact.email").isNull().alias("no_email")))), F.col("_c"), "version_id").select(
-        "version_id", "_item.c.*", "_item.no_email")
-    part = checks.filter(~F.col("passed") & ~((F.col("check_id") == "check-quantification") & (F.col("score") == 40) & F.startswith(F.col("message"), F.lit("No ")))).select(
-        "version_id",
-        F.concat(F.lit("ats_"), F.replace(F.replace(F.col("check_id"), F.lit("check-"), F.lit("")), F.lit("-"), F.lit("_"))).alias("category"),
-        F.when((F.col("check_id") == "check-contact") & F.col("no_email"), "critical").otherwise(severity).alias("severity"),
-        F.col("message").alias("explanation"),
-        F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
-    )
-    rewrites = rewrite.revisions(resume.bullet_rows(profiles)).filter("passed").select(
-        "version_id", F.lit("bullet_improvement").alias("category"), F.lit("info").alias("severity"), F.col("rationale").alias("explanation"), "start", "end"
-    )
-    out = part.unionByName(rewrites)
+    """Failed checks, unsupported required qualifications and verified rewrites as one table.
+
+    Columns: version_id, job_id (of qualifications, else null), category, severity, title,
+    explanation, suggested_action, confidence, citations, patch (of rewrites, else null), and
+    start, end of the first citation.
+    """
+    patch = "struct<start:int,end:int,original:string,replacement:string,explanation:string>"
+    no_job, no_patch = F.lit(None).cast("string").alias("job_id"), F.lit(None).cast(patch).alias("patch")
+    out = unnest(profiles, ats.check_findings(), "version_id").select("version_id", no_job, "_item.*", no_patch)
+    rewrites = rewrite.revisions(resume.bullet_rows(profiles)).filter("passed")
+    cited = ats.cite(F.col("block_id"), F.col("start"), F.col("end"), F.col("text"))
+    improved = ats.finding("bullet_improvement", F.lit("info"), {"why": F.col("rationale")}, F.array(cited))
+    out = out.unionByName(rewrites.withColumn("_item", improved).select(
+        "version_id", no_job, "_item.*", F.struct("start", "end", "text", "candidate", "rationale").cast(patch).alias("patch")))
     if matched is not None:
-        gaps = matching.match_rows(matched).filter((F.col("priority") == "required") & (F.col("status") == "unsupported"))
-        out = out.unionByName(gaps.select(
-            "version_id", F.lit("role_qualification_gap").alias("category"), F.lit("high").alias("severity"),
-            F.concat(F.lit('The role strictly requires: "'), "requirement_text", F.lit('". '), "explanation").alias("explanation"), "start", "end"))
-    return out
+        required = F.filter("matches", lambda m: (m["priority"] == "required") & (m["status"] == "unsupported"))
+        gaps = F.transform(required, lambda m: ats.finding(
+            "role_qualification_gap", F.lit("high"), {"parts": m["category"], "text": m["requirement_text"], "why": m["explanation"]}, matching.match_citations(m)))
+        out = out.unionByName(unnest(matched, gaps, "version_id", "job_id").select("version_id", "job_id", "_item.*", no_patch))
+    first = F.get("citations", F.lit(0))
+    return out.withColumns({"start": first["start"], "end": first["end"]})
 
 
 def resume_summary(matched: DataFrame) -> DataFrame:

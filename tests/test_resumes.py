@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexfolio.functions.skills import skills_in
 from lexfolio.operators import ats, ir, matching, resume, rewrite
-from lexfolio.plans.reviews import review_resumes
+from lexfolio.plans.reviews import resume_findings, review_resumes
 
 TEXT = "\n\n".join([
     "Alex Rivera", "alex.rivera@example.com | (555) 234-5678 | Seattle, WA | linkedin.com/in/arivera | github.com/arivera", "PROFESSIONAL SUMMARY", "Engineer.",
@@ -63,3 +63,36 @@ def test_skill_boundaries(spark):
 def test_fallback_when_no_range_parses(spark):
     docs = ir.canonical_documents(spark.createDataFrame([("r", "EXPERIENCE\n\nJob Mar 2022 - Jan 2020\n\nsome bullet text")], "version_id string, text string"))
     assert resume.extract_profiles(docs, 24294).first()["total_months"] == 12
+
+
+def test_findings_carry_wording_and_cited_places(spark, matched):
+    text = ir.canonical_documents(spark.createDataFrame([("r", TEXT)], "version_id string, text string")).first()["canonical_text"]
+    found = {(r["category"], r["job_id"]): r for r in resume_findings(matched, matched).collect()}
+    weak = found["ats_action_verbs", None]
+    assert weak["title"] == "Passive Openers in Experience Bullets" and weak["explanation"].startswith("Found 2 bullet point(s)")
+    assert [c["quote"] for c in weak["citations"]] == ["Responsible for building APIs using TypeScript and PostgreSQL.", "Worked on the deploying of services with Docker."]
+    gap = found["role_qualification_gap", "j"]
+    assert gap["title"] == "Missing Required Qualification: skill" and gap["citations"] == [] and gap["start"] is None
+    rewrites = [r for r in resume_findings(matched).collect() if r["category"] == "bullet_improvement"]
+    assert rewrites and all(r["patch"]["original"] == r["citations"][0]["quote"] == text[r["start"] : r["end"]] for r in rewrites)
+    assert all(text[c["start"] : c["end"]] == c["quote"] for r in found.values() for c in r["citations"])
+
+
+def test_a_gap_in_years_cites_the_latest_role(spark):
+    docs = spark.createDataFrame([("r", TEXT)], "version_id string, text string")
+    jobs = spark.createDataFrame([("j", "Requirements:\n- 9+ years of professional experience.")], "job_id string, text string")
+    apps = spark.createDataFrame([("r", "j")], "version_id string, job_id string")
+    text = ir.canonical_documents(docs).first()["canonical_text"]
+    found = resume_findings(review_resumes(docs, 2024 * 12 + 1), review_resumes(docs, 2024 * 12 + 1, apps, jobs))
+    (cited,) = found.filter("category = 'role_qualification_gap'").first()["citations"]
+    # the role spans several blocks, none of which holds it alone
+    assert cited["quote"] == text[cited["start"] : cited["end"]].strip() and cited["quote"].startswith("Senior Engineer") and "latency by 40%" in cited["quote"]
+
+
+def test_contact_reaches_to_the_first_section_head(spark):
+    far = "\n\n".join(["Alex Rivera", *[f"Line {w} of the head" for w in "abcdefgh"], "alex@example.com", "EXPERIENCE", "late@example.com"])
+    near = "\n\n".join(["Alex Rivera", "EXPERIENCE", "late@example.com"])
+    docs = ir.canonical_documents(spark.createDataFrame([("far", far), ("near", near), ("none", "only words")], "version_id string, text string"))
+    mail = lambda **kw: {r["version_id"]: r["contact"]["email"] for r in resume.extract_profiles(docs, 0, **kw).collect()}
+    assert mail() == {"far": "alex@example.com", "near": "late@example.com", "none": None}
+    assert mail(contact_blocks=8)["far"] is None
