@@ -178,10 +178,34 @@ def explode_results(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     return runs, findings.drop("citations"), citations
 
 
-def invocation_rows(answers: DataFrame) -> DataFrame:
-    """Provenance rows: hashes, token counts and which kind of provider answered."""
+def invocation_rows(answers: DataFrame, calls: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Provenance rows: who answered which prompt for which task and run, how fast and with how many tokens.
+
+    ``answers`` has prompt_id, prompt, provider, prompt_tokens, completion_tokens. ``calls`` adds
+    task_id, model_name, model_revision, started_at and finished_at by prompt_id (the earliest
+    call of a prompt counts), ``runs`` run_id and workspace_id by task_id (the latest published
+    counts). Prompts that no call or run knows keep nulls there; latency needs both times.
+    A provider that neither replays nor computes its answers is live.
+    """
     kind = F.col("provider")
-    return answers.select(
-        "prompt_id", "provider", F.sha2("prompt", 256).alias("prompt_hash"), "prompt_tokens", "completion_tokens",
-        F.lit(False).alias("is_live"), (kind != "deterministic").alias("is_recorded"), (kind == "deterministic").alias("is_deterministic"),
+    recorded, computed = F.startswith(kind, F.lit("recorded")), kind == "deterministic"
+    rows = answers
+    if calls is not None:
+        call = F.min_by(F.struct("task_id", "model_name", "model_revision", "started_at", "finished_at"), F.struct("started_at", "task_id"))
+        rows = rows.join(calls.groupBy("prompt_id").agg(call.alias("_call")), "prompt_id", "left").select(*answers.columns, "_call.*")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("task_id", "model_name", "model_revision")}).withColumns(
+            {c: F.lit(None).cast("timestamp") for c in ("started_at", "finished_at")})
+    if runs is not None:
+        run = F.max_by(F.struct("run_id", "workspace_id"), F.struct("published_at", "run_id"))
+        rows = rows.join(runs.groupBy("task_id").agg(run.alias("_run")), "task_id", "left").select(*rows.columns, "_run.*")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("run_id", "workspace_id")})
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    millis = (micros("finished_at") - micros("started_at")) / 1000
+    return rows.select(
+        F.sha2(F.concat_ws("|", F.coalesce("run_id", F.lit("")), F.coalesce("task_id", F.lit("")), F.col("prompt_id")), 256).alias("invocation_id"),
+        "prompt_id", "run_id", "task_id", "workspace_id", "provider", "model_name", "model_revision", F.sha2("prompt", 256).alias("prompt_hash"),
+        "prompt_tokens", "completion_tokens", F.floor(millis).cast("bigint").alias("latency_ms"),
+        (~recorded & ~computed).alias("is_live"), recorded.alias("is_recorded"), computed.alias("is_deterministic"),
     )

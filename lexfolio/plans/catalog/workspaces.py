@@ -255,4 +255,38 @@ def _(t):
 
 @query("g12_invocation_rows", f"""WITH {FILLED} SELECT prompt_id, provider, sha256(prompt) AS prompt_hash, CAST(floor(length(prompt) / 4 + 0.5) AS INTEGER) AS prompt_tokens, CAST(floor(length(answer) / 4 + 0.5) AS INTEGER) AS completion_tokens, false AS is_live, provider <> 'deterministic' AS is_recorded, provider = 'deterministic' AS is_deterministic FROM fb""")
 def _(t):
-    return w.invocation_rows(rp.with_fallback(rp.replay(build(t, _PROMPTS, "conversations"), recorded(t))))
+    rows = w.invocation_rows(rp.with_fallback(rp.replay(build(t, _PROMPTS, "conversations"), recorded(t))))
+    return rows.select("prompt_id", "provider", "prompt_hash", "prompt_tokens", "completion_tokens", "is_live", "is_recorded", "is_deterministic")
+
+
+# Answers of a live model: what the assistant says next, where the recordings (first turns) do not reach.
+_LIVE = "SELECT CAST(a.conv_id AS STRING) || '-' || CAST(a.turn AS STRING) AS prompt_id, b.text AS live FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant' AND a.turn >= 2"
+# One call for each event of the user whose number is the conversation's; its task is the event's.
+_CALLS = "SELECT CAST(c.conv_id AS STRING) || '-' || CAST(c.turn AS STRING) AS prompt_id, 't' || CAST(event_id AS STRING) AS task_id, 'model-' || CAST(event_id % 3 AS STRING) AS model_name, CASE WHEN event_id % 4 > 0 THEN 'rev-' || CAST(event_id % 4 AS STRING) END AS model_revision, ts AS started_at, CASE WHEN event_id % 7 > 0 THEN ts + INTERVAL 1 SECOND * (event_id % 90) END AS finished_at FROM conversations c JOIN events e ON e.user_id = c.conv_id WHERE c.role = 'user'"
+_TASK_RUNS = "SELECT run_id, workspace_id, 't' || CAST(CAST(substring(run_id, 2) AS BIGINT) - CAST(substring(run_id, 2) AS BIGINT) % 2 AS STRING) AS task_id, published_at FROM runs"
+
+
+def _calls(t):
+    prompts = t.conversations.filter("role = 'user'").select("conv_id", "turn")
+    n = F.col("event_id")
+    return prompts.join(t.events.select("event_id", "user_id", "ts"), F.col("conv_id") == F.col("user_id")).select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("prompt_id"),
+        F.concat(F.lit("t"), n.cast("string")).alias("task_id"), F.concat(F.lit("model-"), (n % 3).cast("string")).alias("model_name"),
+        F.when(n % 4 > 0, F.concat(F.lit("rev-"), (n % 4).cast("string"))).alias("model_revision"), F.col("ts").alias("started_at"),
+        F.when(n % 7 > 0, F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (n % 90) * 1000000)).alias("finished_at"))
+
+
+@query("g12_invocation_provenance", f"""WITH {FILLED}, lv AS ({_LIVE}), an AS (SELECT prompt_id, prompt, CASE WHEN provider = 'deterministic' AND live IS NOT NULL THEN 'hosted' ELSE provider END AS provider, CASE WHEN provider = 'deterministic' AND live IS NOT NULL THEN live ELSE answer END AS answer FROM fb LEFT JOIN lv USING (prompt_id)),
+ca AS (SELECT * FROM ({_CALLS}) QUALIFY row_number() OVER (PARTITION BY prompt_id ORDER BY started_at, task_id) = 1), runs AS ({RUNS}), ru AS (SELECT * FROM ({_TASK_RUNS}) QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY published_at DESC, run_id DESC) = 1)
+SELECT sha256(coalesce(run_id, '') || '|' || coalesce(task_id, '') || '|' || prompt_id) AS invocation_id, prompt_id, run_id, task_id, workspace_id, provider, model_name, model_revision, sha256(prompt) AS prompt_hash, CAST(floor(length(prompt) / 4 + 0.5) AS INTEGER) AS prompt_tokens, CAST(floor(length(answer) / 4 + 0.5) AS INTEGER) AS completion_tokens,
+ CAST(floor((epoch_us(finished_at) - epoch_us(started_at)) / 1000) AS BIGINT) AS latency_ms, provider = 'hosted' AS is_live, starts_with(provider, 'recorded') AS is_recorded, provider = 'deterministic' AS is_deterministic FROM an LEFT JOIN ca USING (prompt_id) LEFT JOIN ru USING (task_id)""")
+def _(t):
+    replayed = rp.replay(build(t, _PROMPTS, "conversations"), recorded(t))
+    live = t.conversations.filter("role = 'assistant' AND turn >= 3").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string")).alias("prompt_id"), F.col("text").alias("live"))
+    missed = F.col("provider").isNull() & F.col("live").isNotNull()
+    answered = replayed.join(live, "prompt_id", "left").withColumns({
+        "answer": F.when(missed, F.col("live")).otherwise(F.col("answer")), "provider": F.when(missed, "hosted").otherwise(F.col("provider"))}).drop("live")
+    runs_ = build(t, RUNS, "events").withColumn("_n", F.substring("run_id", 2, 20).cast("bigint")).select(
+        "run_id", "workspace_id", F.concat(F.lit("t"), (F.col("_n") - F.col("_n") % 2).cast("string")).alias("task_id"), "published_at")
+    return w.invocation_rows(rp.with_fallback(answered), _calls(t), runs_)
