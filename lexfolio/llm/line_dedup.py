@@ -79,11 +79,11 @@ def _shared(keyed: DataFrame, key: str) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """x, y of the line classes (x, y, place of the earliest) that have an earlier different one within one edit.
+    """x, y of the line classes (x, y, place of the earliest, halves) that have an earlier different one within one edit.
 
     Only hashes are shuffled until few lines are left; then their variants are keys as well.
     """
-    halves = lines.select("x", F.explode(_halved(1)["h"]).alias("half"))
+    halves = classes.select("x", F.explode("halves").alias("half"))
     ids = _shared(halves, "half").select("x").distinct()
     texts = lines.join(ids, "x").join(classes.select("x", "y", "first"), ["x", "y"]).filter(F.struct(*PLACE) == F.col("first"))
     # a row that is stored twice holds its lines twice at one place
@@ -116,7 +116,9 @@ def dedupe(docs: DataFrame, edits: int = 1) -> DataFrame:
         raise ValueError(f"edits must be 0 or 1, not {edits}")
     lines = lines_of(docs).withColumn("x", F.xxhash64("line")).withColumn("y", F.xxhash64(F.lit(1), "line"))
     # copies fold into classes with their earliest place before the shuffle; texts stay where they are
-    classes = materialize(lines.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")), "classes")
+    halves = _halved(1)["h"] if edits else F.array().cast("array<long>")
+    summary = (F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n"), F.any_value(halves).alias("halves"))
+    classes = materialize(lines.groupBy("x", "y").agg(*summary), "classes")
     again = classes.filter("n > 1").select("x", "y", "first")
     if edits:
         gone = near_lines(lines, classes).withColumn("gone", F.lit(True))
