@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexfolio.functions.arrays import shuffled
 from lexfolio.functions.text import collapse_space, half_up
 from lexfolio.operators.textjoin import contains_join
 
@@ -38,12 +39,12 @@ def replay(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
         F.max_by("response", "seq").alias("response"), F.min("seq").alias("seq")
     )
     keyed = prompts.withColumn("key", prompt_key(F.col("prompt")))
-    direct = keyed.join(store.select("key", F.col("response").alias("_direct")), "key", "left")
+    direct = keyed.join(shuffled(store.select("key", F.col("response").alias("_direct"))), "key", "left")
     missed = direct.filter(F.col("_direct").isNull()).select(F.col("prompt_id").alias("text_id"), F.col("prompt").alias("text"))
     heads = store.select(F.col("seq").alias("needle_id"), F.left("response", F.lit(40)).alias("needle")).filter(F.trim("needle") != "")
     partial = contains_join(heads, missed).groupBy("text_id").agg(F.min("needle_id").alias("seq"))
-    second = partial.join(store.select("seq", F.col("response").alias("_second")), "seq").select(F.col("text_id").alias("prompt_id"), "_second")
-    return direct.join(second, "prompt_id", "left").select(
+    second = partial.join(shuffled(store.select("seq", F.col("response").alias("_second"))), "seq").select(F.col("text_id").alias("prompt_id"), "_second")
+    return direct.join(shuffled(second), "prompt_id", "left").select(
         "prompt_id", "prompt",
         F.when(F.col("_direct").isNotNull(), "recorded").when(F.col("_second").isNotNull(), "recorded_partial").alias("provider"),
         F.coalesce("_direct", "_second").alias("answer"),
