@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-GROWING = ("j01_offset_lookup", "j02_range_overlap", "j04_containing_block", "j21_deterministic_fallback")
+GROWING = ("j01_offset_lookup", "j02_range_overlap", "j04_containing_block", "j10_broken_references", "j21_deterministic_fallback")
 
 
 @pytest.mark.parametrize("name", GROWING)
