@@ -60,3 +60,14 @@ def test_leading_words_keep_every_like_pair(spark):
         for j, b in enumerate(sets):
             if dice(a, b) >= lx.TEXT_SIMILARITY:
                 assert leads[i] & leads[j]
+
+
+def test_numbers_settle_before_texts_are_searched(spark, monkeypatch):
+    heads = [("1", "fees"), ("2", "term"), ("", "notice")]
+    rows = [("p", s, i, n, h, h, ["alpha", "beta", h], [h]) for s in ("base", "target") for i, (n, h) in enumerate(heads)]
+    seen = []
+    search = compare.text_candidates
+    monkeypatch.setattr(compare, "text_candidates", lambda b, t: seen.append((b, t)) or search(b, t))
+    got = compare.align_clauses(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["t"], r["b"], r["by_number"]) for r in got} == {(0, 0, True), (1, 1, True), (2, 2, False)}
+    assert [[r[0] for r in x.select(n).collect()] for x, n in zip(seen[0], "bt", strict=True)] == [[2], [2]]
