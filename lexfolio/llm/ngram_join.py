@@ -49,7 +49,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Distinct shingle hashes of a text, ascending."""
 
-    def __init__(self, width: int, most: int = 300_000):
+    def __init__(self, width: int, most: int = 50_000):
         self.width, self.most, self.cache = width, most, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -174,7 +174,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22)
         for whole in batches:
             b = whole.column("b").to_numpy()
             wanted = whole.filter(pa.array((field[b >> 3] >> (b & 7)) & 1 == 1))
-            for batch in batches_of(wanted, "text", 4 << 20):
+            del whole, b
+            for batch in batches_of(wanted, "text", 1 << 20):
                 sets = [shingles(t) for t in batch.column("text").to_pylist()]
                 keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 halves = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in ([x >> 64 for x in keys], [x & (2**64 - 1) for x in keys])]
@@ -182,6 +183,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int, filter_bits: int = 22)
                     pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays([*halves, lists], ["set_a", "set_b", "shingles"])
+                del batch, sets, keys, halves, lists
+            # the next batch comes when this one is gone, and what it took goes back to the machine
+            del wanted
+            pa.default_memory_pool().release_unused()
 
     return docs.select("text", bucket.alias("b")).mapInArrow(run, "set_a long, set_b long, shingles array<long>")
 
