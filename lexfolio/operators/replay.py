@@ -42,7 +42,7 @@ def replay(prompts: DataFrame, recorded: DataFrame) -> DataFrame:
     direct = keyed.join(shuffled(store.select("key", F.col("response").alias("_direct"))), "key", "left")
     missed = direct.filter(F.col("_direct").isNull()).select(F.col("prompt_id").alias("text_id"), F.col("prompt").alias("text"))
     heads = store.select(F.col("seq").alias("needle_id"), F.left("response", F.lit(40)).alias("needle")).filter(F.trim("needle") != "")
-    partial = contains_join(heads, missed).groupBy("text_id").agg(F.min("needle_id").alias("seq"))
+    partial = contains_join(heads, missed, merged=True).groupBy("text_id").agg(F.min("needle_id").alias("seq"))
     second = partial.join(shuffled(store.select("seq", F.col("response").alias("_second"))), "seq").select(F.col("text_id").alias("prompt_id"), "_second")
     return direct.join(shuffled(second), "prompt_id", "left").select(
         "prompt_id", "prompt",
